@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rfloom.functions.arrays import rounded, sql_rounded
 from rfloom.operators import compaction, regular_grid, schema_drift
 from rfloom.tables import table
 
@@ -40,8 +41,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Every source on its regular grid."""
     grid = regular_grid.regular_grid(table(spark, folder, "sta_readings"), *READING)
-    rounded = {c: F.round(F.col(c), 9) + F.lit(0.0) for c in ("grid_time", "value", "increment")}
-    return grid.withColumns(rounded)
+    return grid.withColumns({c: rounded(F.col(c)) for c in ("grid_time", "value", "increment")})
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,8 +98,8 @@ parts AS (
     CASE WHEN cell = slot THEN v END AS own, CASE WHEN cell = slot THEN abs(t - cell * step) END AS far, t,
     CASE WHEN cell > slot0 AND cell < slot THEN v0 + (v - v0) * (cell * step - t0) / (t - t0) END AS level
   FROM cells)
-SELECT recording, channel, cell_index, cell AS slot, round(max(grid_time), 9) + 0.0 AS grid_time, round(coalesce(arg_min(own, (far, t)) FILTER (own IS NOT NULL), max(level)), 9) + 0.0 AS value,
-  round(sum(share), 9) + 0.0 AS increment, CASE WHEN count(own) = 0 THEN 'filled' ELSE 'observed' END AS status
+SELECT recording, channel, cell_index, cell AS slot, {sql_rounded('max(grid_time)')} AS grid_time, {sql_rounded('coalesce(arg_min(own, (far, t)) FILTER (own IS NOT NULL), max(level))')} AS value,
+  {sql_rounded('sum(share)')} AS increment, CASE WHEN count(own) = 0 THEN 'filled' ELSE 'observed' END AS status
 FROM parts GROUP BY recording, channel, cell_index, cell""",
     "p4_found": """WITH recs AS (
   SELECT DISTINCT recording, export_file, CAST(record_json AS JSON) AS j FROM noise_exports WHERE json_valid(record_json) AND json_type(record_json) = 'OBJECT'),
