@@ -60,7 +60,8 @@ def components(files: DataFrame, channels: DataFrame | None = None) -> DataFrame
         _segments(F.col("w_path")).alias("w"), _segments(F.col("sta_path")).alias("s"),
     )
     pixels = F.try_element_at("shape", F.lit(2))
-    whole = F.least(F.try_element_at("shape", F.lit(1)), F.floor(F.size("weights") / F.nullif(pixels, F.lit(0)))).cast("int")
+    held, listed = F.floor(F.size("weights") / F.nullif(pixels, F.lit(0))).cast("int"), F.try_element_at("shape", F.lit(1))
+    whole = F.when(held < listed, held).when(held >= listed, listed)  # null if either is
     rows = (
         named.withColumns({
             "recording": F.coalesce("w.recording", "s.recording"),
