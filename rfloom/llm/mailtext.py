@@ -39,6 +39,8 @@ def _headers(block: str) -> dict[str, str]:
 
 
 def _split(message: str) -> tuple[dict[str, str], str]:
+    if message.startswith("\n"):
+        return {}, message[1:]
     head, _, body = message.partition("\n\n")
     return _headers(head), body
 
@@ -82,7 +84,7 @@ def strip_markup(page: str) -> str:
 
 def _uu_line(line: str) -> bytes:
     try:
-        return binascii.a2b_uu(line.encode("ascii", "ignore"))
+        return b"" if not line.strip() else binascii.a2b_uu(line.encode("ascii", "ignore"))
     except binascii.Error:
         return b""
 

@@ -277,7 +277,7 @@ def train_cleaned(messages: list[list[list[str]]], target: np.ndarray, folds: np
     if len(np.unique(target[clean])) < 2:
         clean[:] = True
     weights, bias, best = bags.train(target, _shares(target, clean), rounds=50)
-    return Model(weights, bias, _threshold(best[clean], target[clean]))
+    return Model(weights, bias, max(0.0, _threshold(best[clean], target[clean])))  # never below even odds: unknown words weigh nothing
 
 
 def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
