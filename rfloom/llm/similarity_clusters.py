@@ -235,7 +235,7 @@ def pivots(roots: DataFrame, max_pivots: int) -> np.ndarray:
     """At most ``max_pivots`` unit vectors: upper tree entries, reduced group by group until few enough."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = FeatureTree(tight=0.98)
+        tree = FeatureTree(tight=0.98, branch=max(2, min(24, max_pivots)))
         for batch in batches:
             for v, n in zip(_matrix(batch["vec"]), batch["n"].to_pylist()):
                 tree.insert(v, n)
