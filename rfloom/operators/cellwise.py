@@ -46,19 +46,19 @@ def decimated(data: Column, shape: tuple[int, ...], factor: int) -> Column:
     return _per_image(lambda image: kernels.fir_decimated(image, factor), shape)(data)
 
 
-def band_passed(data: Column, low: float, high: float, rate: float) -> Column:
-    """Zero-phase band-pass of each row's series, whatever its length."""
+def band_passed(data: Column, low: float, high: float, rate: Column) -> Column:
+    """Zero-phase band-pass of each row's series at its own sampling rate, whatever its length; null where it can't be."""
 
     @F.pandas_udf("array<double>")
-    def run(series: pd.Series) -> pd.Series:
-        def one(values: np.ndarray | None) -> list[float] | None:
-            if values is None or len(values) < 8 or not np.isfinite(np.asarray(values, float)).all():
+    def run(series: pd.Series, rates: pd.Series) -> pd.Series:
+        def one(values: np.ndarray | None, hertz: float) -> list[float] | None:
+            if values is None or len(values) < 8 or not np.isfinite(np.asarray(values, float)).all() or not hertz > 0:
                 return None
-            return kernels.band_passed(np.asarray(values, float), low, high, rate).tolist()
+            return kernels.band_passed(np.asarray(values, float), low, high, hertz).tolist()
 
-        return series.map(one)
+        return pd.Series([one(v, r) for v, r in zip(series, rates)], dtype=object)
 
-    return run(data)
+    return run(data, rate)
 
 
 def envelope(data: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rfloom.functions import arrays as A
 from rfloom.functions import geometry as G
 from rfloom.functions.arrays import rounded, sql_rounded
-from rfloom.operators import graph, pairs, reduction, tensors
+from rfloom.operators import cellwise, graph, pairs, reduction, tensors
 from rfloom.operators import statistics as S
 from rfloom.tables import finite, table
 
@@ -615,3 +615,95 @@ def semi_nmf(spark, folder):
     """Non-negative part H of X = W H over all images, with the loss after each round."""
     h, losses = reduction.semi_nmf(table(spark, folder, "embeddings"), "embedding", SIDE * SIDE, 5)
     return spark.createDataFrame([(k, h[k].tolist(), float(losses[-1])) for k in range(len(h))], "component int, weights array<double>, loss double")
+
+
+# --- resampling and image kernels -----------------------------------------------------------------------
+
+
+@query(f"WITH {_MAPS}, g AS (SELECT unnest(range(12)) AS t) SELECT label, CAST(a.t AS INT) AS y, CAST(b.t AS INT) AS x, {sql_rounded('v', 9)} AS v FROM maps m JOIN g a ON floor(a.t * 7 / 11.0 + 0.5) = m.y JOIN g b ON floor(b.t * 7 / 11.0 + 0.5) = m.x")
+def resample_nearest(spark, folder):
+    """Images on a 12 x 12 grid: each new pixel looks up its nearest old one (a bounded lookup table)."""
+    new = F.sequence(F.lit(0), F.lit(11))
+    of = lambda axis: F.filter(new, lambda t: F.floor(t * 7 / 11.0 + 0.5) == F.col(axis))
+    rows = maps(spark, folder).select("label", F.explode(of("y")).alias("ny"), "x", "v").select("label", F.col("ny").alias("y"), F.explode(of("x")).alias("nx"), "v")
+    return rows.select("label", "y", F.col("nx").alias("x"), rounded(F.col("v"), 9).alias("v"))
+
+
+@query(f"WITH {_MAPS} SELECT label, y // 2 AS y, x // 2 AS x, {sql_rounded('v', 9)} AS v FROM maps WHERE y % 2 = 0 AND x % 2 = 0".replace("y // 2 AS y, x // 2 AS x", "CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x"))
+def strided(spark, folder):
+    half = lambda c: (F.col(c) / 2).cast("int").alias(c)
+    return maps(spark, folder).where("y % 2 = 0 and x % 2 = 0").select("label", half("y"), half("x"), rounded(F.col("v"), 9).alias("v"))
+
+
+@query(f"""WITH {_MAPS}, r AS (SELECT angle, d, CAST(round_even(4 + d * cos(radians(angle)), 0) AS INT) AS x, CAST(round_even(4 + d * sin(radians(angle)), 0) AS INT) AS y FROM (SELECT unnest(range(8)) * 45 AS angle), (SELECT unnest(range(6)) AS d))
+SELECT label, CAST(angle AS INT) AS angle, CAST(d AS INT) AS d, {sql_rounded('v', 9)} AS v FROM maps JOIN r USING (x, y)""")
+def ray_entries(spark, folder):
+    """Pixels along rays from the middle; what lies outside is left out, repeated pixels stay."""
+    rays = spark.range(48).select((F.floor(F.col("id") / 6) * 45).cast("int").alias("angle"), (F.col("id") % 6).cast("int").alias("d"))
+    x, y = (F.bround(4 + F.col("d") * f(F.radians("angle"))).cast("int") for f in (F.cos, F.sin))
+    found = maps(spark, folder).join(F.broadcast(rays.select("angle", "d", x.alias("x"), y.alias("y"))), ["x", "y"])
+    return found.select("label", "angle", "d", rounded(F.col("v"), 9).alias("v"))
+
+
+@query(f"""WITH {_POINTS}, area AS (SELECT outline_id, 0.5 * sin(2 * pi() / n) * sum(a * b) AS area FROM (SELECT outline_id, n, unnest(center) AS a, unnest(list_concat(center[2:], center[1:1])) AS b FROM whole) GROUP BY outline_id, n),
+far AS (SELECT outline_id, max(sqrt((x - uc - k.mx) ** 2 + (y - vc - k.my) ** 2)) - min(sqrt((x - uc - k.mx) ** 2 + (y - vc - k.my) ** 2)) AS tir FROM p JOIN k USING (outline_id) GROUP BY outline_id),
+axes AS (SELECT *, (suu + svv) / 2 AS h, sqrt((suu - svv) * (suu - svv) / 4 + suv * suv) AS r FROM k)
+SELECT outline_id, {sql_rounded('area * 1e-6')} AS center_size_mm2, {sql_rounded('tir', 3)} AS tir, {sql_rounded('sqrt((uc + mx) ** 2 + (vc + my) ** 2)', 3)} AS center_shift, {sql_rounded('sqrt(greatest(h - r, 0) / nullif(h + r, 0))')} AS tilt, {sql_rounded('(degrees(atan2(2 * suv, suu - svv) / 2) + 180) % 180', 3)} AS angle
+FROM axes JOIN area USING (outline_id) JOIN far USING (outline_id)""")
+def rf_stats(spark, folder):
+    """All shape statistics of a cell's centre outline in one pass over its row."""
+    rows = whole_outlines(spark, folder).select("outline_id", "center", G.vertices(F.col("center")).alias("points"))
+    rows = rows.withColumn("m", G.moments(F.col("points"))).withColumn("circle", G.circle_fit(F.col("m")))
+    return rows.select(
+        "outline_id", rounded(G.radial_area(F.col("center")) * 1e-6).alias("center_size_mm2"), rounded(G.tir(F.col("points"), F.col("circle")), 3).alias("tir"),
+        rounded(F.hypot("circle.xc", "circle.yc"), 3).alias("center_shift"), rounded(G.tilt(F.col("m"))).alias("tilt"), rounded(G.axis_angle(F.col("m")), 3).alias("angle"),
+    )
+
+
+def _images(spark, folder):
+    return table(spark, folder, "embeddings").select("label", "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("a"))
+
+
+@query()
+def gaussian_smooth(spark, folder):
+    """Every image smoothed, with its own median outside."""
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.smoothed(F.col("a"), (SIDE, SIDE), 1.0)).alias("i", "v"))
+
+
+@query()
+def polar_transform(spark, folder):
+    """Every image sampled bilinearly on 36 angles and 4 radii."""
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.polar(F.col("a"), (SIDE, SIDE), 4, 36)).alias("i", "v"))
+
+
+@query()
+def outline_curves(spark, folder):
+    """Centre, surround and in-out curves of every image (36, 36 and 4 values)."""
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.outline_curves(F.col("a"), (SIDE, SIDE), 4)).alias("i", "v"))
+
+
+@query()
+def decimated(spark, folder):
+    """Every image low-passed and thinned by two along its rows."""
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.decimated(F.col("a"), (SIDE, SIDE), 2)).alias("i", "v"))
+
+
+@query()
+def spectrum(spark, folder):
+    """Logarithmic magnitude of every image's Fourier transform."""
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.spectrum(F.col("a"), (SIDE, SIDE))).alias("i", "v"))
+
+
+@query()
+def bandpass(spark, folder):
+    """Traces without holes, band-passed between 2 and 20 Hz."""
+    whole = traces(spark, folder).where(F.size(A.clean(F.col("v"))) == F.size("v"))
+    rate = F.lit(1000.0) / F.nullif(F.get("time_ms", F.lit(1)) - F.get("time_ms", F.lit(0)), F.lit(0.0))
+    return whole.select(*CELL, F.posexplode(cellwise.band_passed(F.transform("v", lambda v: v.cast("double")), 2.0, 20.0, rate)).alias("position", "v"))
+
+
+@query()
+def envelope(spark, folder):
+    """Magnitude of the analytic signal of traces without holes."""
+    whole = traces(spark, folder).where(F.size(A.clean(F.col("v"))) == F.size("v"))
+    return whole.select(*CELL, F.posexplode(cellwise.envelope(F.transform("v", lambda v: v.cast("double")))).alias("position", "v"))
