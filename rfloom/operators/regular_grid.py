@@ -7,7 +7,9 @@ reading of their own are uncovered: they are marked and get the level that the
 distributed increments reach at the cell's centre.
 
 A source may be arbitrarily long: it is cut into chunks of ``chunk`` grid
-steps, windows run within a chunk, and chunks are linked by their last readings.
+steps and chunks are linked by their last readings. Repeated readings are
+combined map-side. The readings of a chunk travel as one array; chunks with
+very many readings (a count decides) are sorted by windows, which spill.
 
 Defined results: readings with null or non-finite time or value are unusable; a
 missing step is taken from the source's other rows; a source without a positive
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rfloom.tables import finite, join_same
+from rfloom.tables import finite, join_same, written
 
 #: Grid steps that one row of a gap is expanded into at a time.
 _BLOCK = 4096
@@ -42,23 +44,53 @@ def slot_of(t: Column, step: Column) -> Column:
     return F.floor(t / step + F.lit(0.5)).cast("bigint")
 
 
-def intervals(readings: DataFrame, keys: list[str], time: str, value: str, step: str, counter: bool = False, chunk: int = 4096) -> DataFrame:
+def _windowed(chunked: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(readings with their predecessor in the chunk, first and last reading of each chunk), by windows: for crowded chunks."""
+    once = chunked.groupBy(*keys, "chunk", "t").agg(F.max("v").alias("v"), F.max("step").alias("step"))
+    here = F.struct("t", "v")
+    within = once.withColumn("prev", F.lag(here).over(Window.partitionBy(*keys, "chunk").orderBy("t"))).where("prev is not null")
+    ends = once.groupBy(*keys, "chunk").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.max("step").alias("step"))
+    return within.select(*keys, "step", "t", "v", "prev"), ends
+
+
+def _collected(chunked: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The same from one array per chunk: the keys move once per chunk, not once per reading."""
+    sets = chunked.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_set(F.struct("t", "v"))).alias("all"), F.max("step").alias("step"))
+    # of equal times only the last (the largest value) stays
+    after = F.slice("all", F.lit(2), F.size("all"))
+    kept = F.transform(F.filter(F.zip_with("all", after, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"].isNull() | (p["a"]["t"] != p["b"]["t"])), lambda p: p["a"])
+    series = sets.select(*keys, "chunk", "step", kept.alias("a"))
+    steps = F.zip_with(F.slice("a", F.lit(1), F.greatest(F.size("a") - 1, F.lit(0))), F.slice("a", F.lit(2), F.size("a")), lambda p, q: F.struct(q["t"].alias("t"), q["v"].alias("v"), p.alias("prev")))
+    ends = series.select(*keys, "chunk", "step", F.element_at("a", 1).alias("first"), F.element_at("a", -1).alias("last"))
+    return series.select(*keys, "step", F.inline(steps)), ends
+
+
+def intervals(readings: DataFrame, keys: list[str], time: str, value: str, step: str, counter: bool = False, chunk: int = 4096, crowded: int = 200_000) -> DataFrame:
     """One row per distinct usable reading with its predecessor (null for a source's first).
 
     Columns: keys, step, slot, t, v, prev_slot, prev_t, prev_v, increment. With
-    ``counter``, a fall is a reset and the new level is the increment.
+    ``counter``, a fall is a reset and the new level is the increment. Chunks
+    with more than ``crowded`` readings aren't collected but sorted by windows.
     """
-    usable = usable_readings(readings, keys, time, value, step).withColumn("slot", slot_of(F.col("t"), F.col("step")))
-    once = usable.withColumn("chunk", F.floor(F.col("slot") / chunk)).groupBy(*keys, "chunk", "slot", "t").agg(F.max("v").alias("v"), F.max("step").alias("step"))
-    here = F.struct("t", "v", "slot")
-    within = once.withColumn("prev", F.lag(here).over(Window.partitionBy(*keys, "chunk").orderBy("t"))).where("prev is not null")
-    ends = once.groupBy(*keys, "chunk").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.max("step").alias("step"))
+    usable = usable_readings(readings, keys, time, value, step)
+    chunked = usable.withColumn("chunk", F.floor(slot_of(F.col("t"), F.col("step")) / chunk))
+    full = chunked.groupBy(*keys, "chunk").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select(*keys, "chunk")
+    parts = [_collected(chunked, keys)]
+    if full.take(1):
+        full = written(full, "crowded")
+        parts = [_collected(join_same(chunked, full, [*keys, "chunk"], "left_anti"), keys), _windowed(join_same(chunked, full, [*keys, "chunk"], "left_semi"), keys)]
+    within, ends = parts[0]
+    for more_within, more_ends in parts[1:]:
+        within, ends = within.unionByName(more_within), ends.unionByName(more_ends)
     heads = ends.withColumn("prev", F.lag("last").over(Window.partitionBy(*keys).orderBy("chunk")))
-    rows = within.select(*keys, "step", "slot", "t", "v", "prev").unionByName(heads.select(*keys, "step", "first.slot", "first.t", "first.v", "prev"))
+    rows = within.unionByName(heads.select(*keys, "step", "first.t", "first.v", "prev"))
     change = F.col("v") - F.col("prev.v")
     if counter:
         change = F.when(change < 0, F.col("v")).otherwise(change)
-    return rows.select(*keys, "step", "slot", "t", "v", F.col("prev.slot").alias("prev_slot"), F.col("prev.t").alias("prev_t"), F.col("prev.v").alias("prev_v"), change.alias("increment"))
+    return rows.select(
+        *keys, "step", slot_of(F.col("t"), F.col("step")).alias("slot"), "t", "v", slot_of(F.col("prev.t"), F.col("step")).alias("prev_slot"),
+        F.col("prev.t").alias("prev_t"), F.col("prev.v").alias("prev_v"), change.alias("increment"),
+    )
 
 
 def _expanded(rows: DataFrame, low: Column, high: Column) -> DataFrame:

@@ -42,6 +42,10 @@ def test_chunks_agree_with_brute_force(spark):
         own = {math.floor(t / 10 + 0.5) for c, t, _, _ in rows if c == cell}
         want += [(cell, s) for s in range(min(own), max(own)) if s not in own]
     assert missing(spark, rows, chunk=7) == missing(spark, rows) == sorted(want)
+    crowded = R.intervals(readings(spark, rows), *ARGS, chunk=100, crowded=30)  # some chunks by windows, some as arrays
+    plain = R.intervals(readings(spark, rows), *ARGS)
+    assert slots(R.uncovered(crowded, KEYS)) == sorted(want)
+    assert sorted(map(tuple, crowded.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
 def test_huge_gap_is_expanded_whole(spark):
