@@ -15,7 +15,8 @@ Defined results: readings with null or non-finite time or value are unusable; a
 missing step is taken from the source's other rows; a source without a positive
 finite step, or without usable readings, has no grid; repeated rows count once;
 of several values at one time the largest is used; null keys form a source of
-their own; an empty table gives an empty grid; further columns are ignored.
+their own; an empty table gives an empty grid; further columns are ignored, whatever their
+names; keys may not be called like the result's columns.
 """
 
 from __future__ import annotations
@@ -95,16 +96,16 @@ def intervals(readings: DataFrame, keys: list[str], time: str, value: str, step:
 
 def _expanded(rows: DataFrame, low: Column, high: Column) -> DataFrame:
     """Each row once per grid step from low to high, in blocks, so that no gap makes one huge array."""
-    blocks = rows.withColumn("low", low).withColumn("high", high).where("low <= high")
-    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("high") - F.col("low")) / _BLOCK))))
-    start = F.col("low") + F.col("block") * _BLOCK
-    return blocks.withColumn("cell", F.explode(F.sequence(start, F.least(F.col("high"), start + (_BLOCK - 1))))).drop("low", "high", "block")
+    blocks = rows.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    blocks = blocks.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_high") - F.col("_low")) / _BLOCK))))
+    start = F.col("_low") + F.col("_block") * _BLOCK
+    return blocks.withColumn("_cell", F.explode(F.sequence(start, F.least(F.col("_high"), start + (_BLOCK - 1))))).drop("_low", "_high", "_block")
 
 
 def uncovered(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Grid steps strictly inside an interval: no reading of the source falls on them."""
     gaps = spans.where("slot - prev_slot > 1")
-    return _expanded(gaps, F.col("prev_slot") + 1, F.col("slot") - 1).select(*keys, F.col("cell").alias("slot"))
+    return _expanded(gaps, F.col("prev_slot") + 1, F.col("slot") - 1).select(*keys, F.col("_cell").alias("slot"))
 
 
 def regular_grid(readings: DataFrame, keys: list[str], time: str, value: str, step: str, counter: bool = False, chunk: int = 4096) -> DataFrame:
@@ -116,14 +117,14 @@ def regular_grid(readings: DataFrame, keys: list[str], time: str, value: str, st
     """
     spans = intervals(readings, keys, time, value, step, counter, chunk)
     cells = _expanded(spans, F.coalesce("prev_slot", "slot"), F.col("slot"))
-    centre = F.col("cell") * F.col("step")
+    centre = F.col("_cell") * F.col("step")
     overlap = F.least("t", centre + F.col("step") / 2) - F.greatest("prev_t", centre - F.col("step") / 2)
     length = F.nullif(F.col("t") - F.col("prev_t"), F.lit(0.0))
     level = F.when(F.col("v") - F.col("prev_v") == F.col("increment"), F.col("prev_v")).otherwise(F.lit(0.0))
-    own = F.col("cell") == F.col("slot")
-    inner = (F.col("cell") > F.col("prev_slot")) & ~own
+    own = F.col("_cell") == F.col("slot")
+    inner = (F.col("_cell") > F.col("prev_slot")) & ~own
     parts = cells.select(
-        *keys, F.col("cell").alias("slot"), centre.alias("grid_time"),
+        *keys, F.col("_cell").alias("slot"), centre.alias("grid_time"),
         F.coalesce(F.col("increment") * F.greatest(overlap, F.lit(0.0)) / length, F.lit(0.0)).alias("share"),
         F.when(own, F.struct(F.abs(F.col("t") - centre).alias("far"), "t", "v")).alias("near"),
         F.when(inner, level + F.col("increment") * (centre - F.col("prev_t")) / length).alias("level"),
