@@ -35,9 +35,13 @@ from pyspark.sql import functions as F
 from rfloom.llm.mailtext import read_message
 
 BUCKETS = 1 << 17
+#: Parts of the labelled messages that are held out in turn.
+FOLDS = 5
 #: The bucket that rare units share; it always weighs nothing.
 _RARE = 0
 _GRAMS = (3, 4, 5)
+#: Neutral words that every sentence is averaged with: a greeting and a name alone are weak evidence.
+_PAD = 4
 # Look-alike letters of other scripts and digits or signs used as letters.
 _LOOKALIKES = str.maketrans("авеёкмнорстухіјѕԁɡαβεικνορτυχ", "abeekmhopctyxijsdgabeiknoptux")
 _LEET = str.maketrans("013457@$€!|", "oieastaseil")
@@ -173,7 +177,7 @@ class Scorer:
         value[1:] += pairs
         start = np.nonzero(np.diff(sentence, prepend=-1))[0]
         counts = np.diff(np.append(start, len(sentence)))
-        logits = np.add.reduceat(value, start) / (2 * counts - 1) + self.model.bias
+        logits = np.add.reduceat(value, start) / (2 * counts - 1 + _PAD) + self.model.bias
         np.maximum.at(best, owner[start], logits)
         return best
 
@@ -232,7 +236,7 @@ class Bags:
         negative = (target == 0)[self.owner]
         for step in range(1, rounds + 2):
             vectors = np.add.reduceat(table[self.buckets], self.unit_start) / self.unit_sizes[:, None]
-            means = np.add.reduceat(vectors[self.tokens], self.bag_start) / self.bag_sizes[:, None]
+            means = np.add.reduceat(vectors[self.tokens], self.bag_start) / (self.bag_sizes + _PAD)[:, None]
             logit = means @ top * 10 + bias
             best = np.maximum.reduceat(logit, self.first)
             if step > rounds:
@@ -244,7 +248,7 @@ class Bags:
             chance = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             right = np.where(negative, 1 - chance, chance)
             slope = part * np.maximum(right, 1e-6) ** bend * (chance - ~negative)
-            by_mean = slope[:, None] * top * 10 / self.bag_sizes[:, None]
+            by_mean = slope[:, None] * top * 10 / (self.bag_sizes + _PAD)[:, None]
             by_vector = _spread(by_mean[self.bag_owner], self.tokens, len(self.unit_sizes)) / self.unit_sizes[:, None]
             pull = _spread(by_vector[self.unit_owner], self.buckets, len(self.used)) + decay * table
             pull[self.neutral] = 0
@@ -263,21 +267,27 @@ def _shares(target: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.where(inside, 0.5 / np.maximum(counts, 1)[target], 0.0)
 
 
-def train_cleaned(messages: list[list[list[str]]], target: np.ndarray, folds: np.ndarray) -> Model:
-    """Scores every message by a model that hasn't seen it, places the threshold there, drops contradicted labels and trains on the rest."""
-    bags = Bags(messages)
+def _held_out(bags: Bags, target: np.ndarray, folds: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+    """Logit of each message by a model trained on the trusted messages of the other folds."""
     held = np.zeros(len(target))
     for fold in np.unique(folds):
-        inside = folds != fold
+        inside = (folds != fold) & trusted
         if len(np.unique(target[inside])) == 2:
-            _, _, best = bags.train(target, _shares(target, inside))
-            held[~inside] = best[~inside]
-    threshold = _threshold(held, target)
-    clean = (held >= threshold) == (target == 1)
+            best = bags.train(target, _shares(target, inside))[2]
+            held[folds == fold] = best[folds == fold]
+    return held
+
+
+def train_cleaned(messages: list[list[list[str]]], target: np.ndarray, folds: np.ndarray) -> Model:
+    """Drops labels that held-out models contradict, trains on the rest, and places the threshold by held-out scores again."""
+    bags, every = Bags(messages), np.ones(len(target), bool)
+    held = _held_out(bags, target, folds, every)
+    clean = (held >= _threshold(held, target)) == (target == 1)
     if len(np.unique(target[clean])) < 2:
-        clean[:] = True
-    weights, bias, best = bags.train(target, _shares(target, clean), rounds=50)
-    return Model(weights, bias, max(0.0, _threshold(best[clean], target[clean])))  # never below even odds: unknown words weigh nothing
+        clean = every
+    held = _held_out(bags, target, folds, clean)
+    weights, bias, _ = bags.train(target, _shares(target, clean))
+    return Model(weights, bias, max(0.0, _threshold(held[clean], target[clean])))  # never below even odds: unknown words weigh nothing
 
 
 def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -309,7 +319,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 800) -> Mod
     target = np.array([y for _, y in sample], dtype=np.int64)
     if not len(target) or target.min() == target.max():
         return None
-    folds = np.array([zlib.crc32(t.encode()) % 3 for t, _ in sample])
+    folds = np.array([zlib.crc32(t.encode()) % FOLDS for t, _ in sample])
     return train_cleaned([sentences(t) or [["0"]] for t, _ in sample], target, folds)
 
 
