@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rfloom.functions.arrays import let, total
+from rfloom.functions.arrays import let, rounded, total
 
 
 def px_to_um(px: Column, size: Column, pixel: Column) -> Column:
@@ -15,8 +15,12 @@ def px_to_um(px: Column, size: Column, pixel: Column) -> Column:
 
 
 def um_to_px(um: Column, size: Column, pixel: Column) -> Column:
-    """Truncated to whole pixels; only the half size is rounded (half to even)."""
-    return (um / pixel + F.bround(size / 2)).cast("int")
+    """Truncated to whole pixels; only the half size is rounded (half to even).
+
+    A position less than a millionth of a pixel below a whole one counts as
+    whole: it differs from it only by the order in which its mean was summed.
+    """
+    return rounded(um / pixel + F.bround(size / 2)).cast("int")
 
 
 def cut_px(cut_um: Column, pixel: Column) -> Column:

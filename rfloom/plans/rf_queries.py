@@ -407,7 +407,7 @@ def locate_across_channels(spark, folder):
     return found.withColumns({c: rounded(F.col(c)) for c in ("x_um", "y_um")})
 
 
-@query(f"WITH {_POSITIONS}, m AS (SELECT recording, cell_index, sum(w * x_um) / sum(w) AS x_um FROM pos GROUP BY ALL) SELECT recording, channel, cell_index, CAST(greatest(least(trunc(m.x_um / pixel_size + round_even(image_w / 2, 0)), image_w - 1), 0) AS INT) AS x_px FROM m JOIN stims USING (recording)")
+@query(f"WITH {_POSITIONS}, m AS (SELECT recording, cell_index, sum(w * x_um) / sum(w) AS x_um FROM pos GROUP BY ALL) SELECT recording, channel, cell_index, CAST(greatest(least(trunc({sql_rounded('m.x_um / pixel_size + round_even(image_w / 2, 0)')}), image_w - 1), 0) AS INT) AS x_px FROM m JOIN stims USING (recording)")
 def um_to_px(spark, folder):
     found = S.weighted_positions(_positions(spark, folder), ["recording", "cell_index"], "quality", 20.0)
     px = G.um_to_px(F.col("x_um"), F.col("image_w"), F.col("pixel_size"))
