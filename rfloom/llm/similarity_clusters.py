@@ -409,8 +409,12 @@ def _against(pairs: DataFrame, extra: str) -> DataFrame:
     return pairs.mapInArrow(run, "cluster bigint, outline_id bigint, " + (extra + ", " if extra else "") + "least double, total double")
 
 
-def clusters(cells: DataFrame, alike: float = ALIKE, max_pivots: int = 1024, region_leaves: int = 1500, rounds: int = 3) -> DataFrame:
-    """cluster, outline_id, typicality of every cell in a cluster of two or more (cluster: its smallest outline_id)."""
+def clusters(cells: DataFrame, alike: float = ALIKE, max_pivots: int = 1024, region_leaves: int = 1500) -> DataFrame:
+    """cluster, outline_id, typicality of every cell in a cluster of two or more (cluster: its smallest outline_id).
+
+    Cells that don't fit are clustered again until none is left over; each round
+    keeps at least the most typical cell of every cluster, so it ends.
+    """
     trees = written(feature_trees(cells), "trees")
     roots = trees.where("kind = 'root'")
     if not roots.take(1):
@@ -432,14 +436,14 @@ def clusters(cells: DataFrame, alike: float = ALIKE, max_pivots: int = 1024, reg
         unlike = written(_against(pairs, "with_id bigint").where(F.col("least") < alike).select("cluster", "outline_id", "with_id"), "unlike")
         rank = measured.select("outline_id", "total")
         judged = unlike.join(rank, "outline_id").join(rank.select(F.col("outline_id").alias("with_id"), F.col("total").alias("with_total")), "with_id")
-        leaving = judged.where((F.col("total") < F.col("with_total")) | ((F.col("total") == F.col("with_total")) & (F.col("outline_id") > F.col("with_id")))).select("outline_id").distinct()
+        leaving = written(judged.where((F.col("total") < F.col("with_total")) | ((F.col("total") == F.col("with_total")) & (F.col("outline_id") > F.col("with_id")))).select("outline_id").distinct(), "leaving")
         fitting = measured.join(leaving, "outline_id", "left_anti")
     ids = fitting.groupBy("cluster").agg(F.min("outline_id").alias("smallest"), F.count("*").alias("size")).where("size > 1")
     found = fitting.join(ids, "cluster").select(F.col("smallest").alias("cluster"), "outline_id", (F.col("total") / CURVES).alias("typicality"))
-    if leaving is None or rounds <= 1 or not leaving.take(1):
+    if leaving is None or not leaving.take(1):
         return found
     again = cells.join(leaving, "outline_id", "left_semi")
-    return found.unionByName(clusters(again, alike, max_pivots, region_leaves, rounds - 1))
+    return found.unionByName(clusters(again, alike, max_pivots, region_leaves))
 
 
 def described(found: DataFrame, typical: int = 3) -> DataFrame:
