@@ -44,17 +44,17 @@ def kind_of(value: Column) -> Column:
 
 
 def ingest(records: DataFrame, target: dict[str, tuple[str, str]] = TARGET) -> DataFrame:
-    """FILE columns, cell_index, valid, one typed column per target field, ``rescued`` (JSON), ``rescued_kinds`` (name -> kind as written; the JSON text of 120.0 is 120)."""
-    parsed = records.select(*FILE, F.try_parse_json("record_json").alias("record"))
+    """FILE columns, cell_index, valid, one typed column per target field, ``rescued`` (JSON), ``rescued_kinds`` (name -> kind as written; the JSON text of 120.0 is 120), ``unread`` (the text of a record that isn't valid)."""
+    parsed = records.select(*FILE, F.try_parse_json("record_json").alias("record"), F.col("record_json").alias("unread"))
     valid = F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
-    parsed = parsed.withColumn("valid", valid).withColumn("record", F.when(F.col("valid"), F.col("record")))
+    parsed = parsed.withColumn("valid", valid).withColumn("record", F.when(F.col("valid"), F.col("record"))).withColumn("unread", F.when(~F.col("valid"), F.col("unread")))
     parsed = parsed.withColumn("cell_index", F.try_variant_get("record", "$.cell_index", "bigint"))
     typed = {name: F.when(kind_of(F.variant_get("record", f"$.{name}", "variant")) == kind, F.try_variant_get("record", f"$.{name}", sql)) for name, (kind, sql) in target.items()}
     rows = parsed.withColumns(typed)
     kept = F.array(F.lit("cell_index"), *[F.when(F.col(name).isNotNull(), name) for name in target])
     rest = F.map_filter(F.col("record").cast("map<string,variant>"), lambda name, _: ~F.coalesce(F.array_contains(kept, name), F.lit(False)))
     kinds = F.transform_values("rest", lambda _, v: kind_of(v))
-    return rows.withColumn("rest", rest).select(*FILE, "cell_index", "valid", *target, F.to_json("rest").alias("rescued"), kinds.alias("rescued_kinds"))
+    return rows.withColumn("rest", rest).select(*FILE, "cell_index", "valid", *target, F.to_json("rest").alias("rescued"), kinds.alias("rescued_kinds"), "unread")
 
 
 def fields(ingested: DataFrame, target: dict[str, tuple[str, str]] = TARGET) -> DataFrame:
@@ -103,19 +103,30 @@ def changes(records: DataFrame, target: dict[str, tuple[str, str]] = TARGET) ->
     return retyped.unionByName(renamed).unionByName(removed).unionByName(added).withColumnRenamed("after", "export_file")
 
 
+def _scalar(value: Column, sql: str) -> Column:
+    """A scalar variant as ``sql``; null where the cast would lose something (objects and arrays, broken numbers as whole ones)."""
+    cast = F.try_variant_get(value, "$", sql)
+    whole = F.try_variant_get(value, "$", "double") == cast.cast("double") if sql in ("int", "bigint") else F.lit(True)
+    return F.when(~kind_of(value).isin("object", "array") & whole, cast)
+
+
 def promote(ingested: DataFrame, approved: dict[str, tuple[str, list[str]]]) -> DataFrame:
     """Replays rescued values into typed columns.
 
     ``approved``: column -> (SQL type, names it goes by, best first). A typed
-    value stays; the first approved name whose rescued value can be cast fills
-    a null; what can't be cast stays in ``rescued``, the rest leaves it.
+    value stays; the first approved name whose rescued value is a scalar that can
+    be cast fills a null. Only this name leaves ``rescued``: what can't be cast,
+    or isn't needed as another value was first, stays there.
     """
     rows = ingested.withColumn("rest", F.try_parse_json("rescued").cast("map<string,variant>"))
-    used = []
-    for column, (sql, names) in approved.items():
-        have = F.col(column) if column in ingested.columns else F.lit(None).cast(sql)
-        values = [F.try_variant_get(F.try_element_at("rest", F.lit(name)), "$", sql) for name in names]
-        used += [F.when(value.isNotNull(), name) for name, value in zip(names, values)]
-        rows = rows.withColumn(column, F.coalesce(have, *values))
-    left = F.map_filter("rest", lambda name, _: ~F.coalesce(F.array_contains(F.array(*used), name), F.lit(False)))
-    return rows.withColumn("rescued", F.to_json(left)).drop("rest")
+
+    def first(sql: str, names: list[str]) -> Column:
+        """struct(name, value) of the best name that has a value; as an array function, so that code doesn't grow with the names."""
+        values = F.transform(F.array(*map(F.lit, names)), lambda n: F.struct(n.alias("name"), _scalar(F.try_element_at("rest", n), sql).alias("value")))
+        return F.get(F.filter(values, lambda p: p["value"].isNotNull()), F.lit(0))
+
+    have = {column: F.col(column) if column in ingested.columns else F.lit(None).cast(sql) for column, (sql, _) in approved.items()}
+    rows = rows.withColumn("used", F.struct(*[F.when(have[column].isNull(), first(*how)).alias(column) for column, how in approved.items()]))
+    left = F.map_filter("rest", lambda name, _: ~F.coalesce(F.array_contains(F.array(*[F.col("used")[c]["name"] for c in approved]), name), F.lit(False)))
+    filled = {column: F.coalesce(have[column], F.col("used")[column]["value"]) for column in approved}
+    return rows.withColumns({**filled, "rescued": F.to_json(left)}).drop("rest", "used")

@@ -18,6 +18,18 @@ APPROVED = {
     "quality": ("double", ["quality", "qual", "score", "rf_quality"]),
 }
 
+#: All columns of the exports' table, with the names they go by; whole numbers stay whole.
+COLUMNS = {
+    "channel": ("string", ["channel", "channel_name", "chan", "Channel", "stim_channel", "led"]),
+    **APPROVED,
+    "angle": ("double", ["angle"]),
+    "center_shift": ("double", ["center_shift"]),
+    "tilt": ("double", ["tilt", "Tilt", "axis_ratio"]),
+    "n_spikes": ("bigint", ["n_spikes"]),
+    "mask_px": ("bigint", ["mask_px"]),
+    "rig_temp": ("double", ["rig_temp"]),
+}
+
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Components that more than one file holds whole."""
@@ -55,7 +67,13 @@ def p4_table(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("valid").select("recording", "export_file", "cell_index", *APPROVED).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_components, p2_found, p2_grid, p4_found, p4_table)}
+def p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    """All exports as one table that keeps everything: each approved column, the rest as JSON, and the text of records that can't be read."""
+    rows = schema_drift.promote(schema_drift.ingest(table(spark, folder, "noise_exports")), COLUMNS)
+    return rows.select("recording", "export_file", "cell_index", "valid", *COLUMNS, "rescued", "unread").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_components, p2_found, p2_grid, p4_found, p4_table, p4_records)}
 
 _COMPONENTS = r"""
 named AS (
@@ -80,6 +98,26 @@ def _names(column: str) -> str:
     return ", ".join(f"""CASE WHEN json_type(j, '$."{n}"') IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'VARCHAR') THEN TRY_CAST(json_extract_string(j, '$."{n}"') AS DOUBLE) END""" for n in APPROVED[column][1])
 
 
+_SQL_TYPES = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT"}
+
+
+def _first(column: str, answer: str) -> str:
+    """The first name of ``column`` whose value can be cast (a value of the wanted kind under the column's own name comes first anyway), or that value."""
+    sql = _SQL_TYPES[COLUMNS[column][0]]
+    cases = []
+    for name in COLUMNS[column][1]:
+        text = f"""json_extract_string(j, '$."{name}"')"""
+        ok = f"""json_type(j, '$."{name}"') IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'VARCHAR', 'BOOLEAN') AND TRY_CAST({text} AS {sql}) IS NOT NULL"""
+        if sql == "BIGINT":
+            ok += f" AND TRY_CAST({text} AS DOUBLE) = TRY_CAST({text} AS BIGINT)"
+        cases.append(f"WHEN {ok} THEN " + (f"'{name}'" if answer == "name" else f"TRY_CAST({text} AS {sql})"))
+    return f"CASE {' '.join(cases)} END"
+
+
+#: JSON as Spark writes a variant: names sorted, one level of nesting, no zeros after the point.
+_TEXT = """regexp_replace(CASE WHEN json_type({v}) = 'OBJECT' THEN '{{' || array_to_string(list_transform(list_sort(json_keys({v})), lambda m: '"' || m || '":' || CAST(json_extract({v}, '$."' || m || '"') AS VARCHAR)), ',') || '}}' ELSE CAST({v} AS VARCHAR) END, '([0-9])[.]0+([],}}]|$)', '\\1\\2', 'g')"""
+
+
 SQL = {
     "p1_found": f"WITH {_COMPONENTS} SELECT recording, channel, cell_idx, component FROM pieces GROUP BY ALL HAVING count(DISTINCT file_id) > 1",
     "p1_components": f"""WITH {_COMPONENTS}
@@ -130,4 +168,12 @@ UNION ALL SELECT file, 'added', '', name FROM come c WHERE NOT EXISTS (FROM rena
 UNION ALL SELECT n.file, 'retyped', n.name, n.name FROM now n JOIN was w ON n.file = w.file AND n.name = w.name WHERE n.kind <> w.kind""",
     "p4_table": f"""SELECT DISTINCT recording, export_file, CAST(json_extract_string(j, '$.cell_index') AS BIGINT) AS cell_index, {', '.join(f'coalesce({_names(c)}) AS {c}' for c in APPROVED)}
 FROM (SELECT recording, export_file, CAST(record_json AS JSON) AS j FROM noise_exports WHERE json_valid(record_json) AND json_type(record_json) = 'OBJECT')""",
+    "p4_records": f"""WITH recs AS (
+  SELECT recording, export_file, record_json, valid, CASE WHEN valid THEN CAST(record_json AS JSON) END AS j
+  FROM (SELECT *, coalesce(CASE WHEN json_valid(record_json) THEN json_type(record_json) = 'OBJECT' END, false) AS valid FROM noise_exports)),
+named AS (SELECT *, {', '.join(f'{_first(c, "value")} AS {c}' for c in COLUMNS)}, [{', '.join(_first(c, 'name') for c in COLUMNS)}] AS used FROM recs)
+SELECT DISTINCT recording, export_file, CAST(json_extract_string(j, '$.cell_index') AS BIGINT) AS cell_index, valid, {', '.join(COLUMNS)},
+  CASE WHEN valid THEN '{{' || array_to_string(list_transform(list_sort(list_filter(json_keys(j), lambda k: k <> 'cell_index' AND NOT coalesce(list_contains(used, k), false))), lambda k: '"' || k || '":' || {_TEXT.format(v="json_extract(j, '$.\"' || k || '\"')")}), ',') || '}}' END AS rescued,
+  CASE WHEN NOT valid THEN record_json END AS unread
+FROM named""",
 }

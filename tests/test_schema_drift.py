@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from rfloom.operators import schema_drift as S
+from rfloom.plans import core_queries as queries
 
 SCHEMA = "recording string, export_file string, exported_at timestamp, record_json string"
 
@@ -65,3 +66,24 @@ def test_a_point_makes_a_float_and_large_integers_stay_integers(spark):
     assert found(S.changes(exports(spark, [("a", a), ("b", b)]))) == {("b", "retyped", n, n) for n in "xyu"}
     typed = S.ingest(exports(spark, [("a", ['{"cell_index": 1, "radius": 120.0}'])])).first()
     assert typed["radius"] == 120.0 and typed["rescued"] == "{}"
+
+
+def test_promotion_removes_only_the_name_that_was_used(spark):
+    """Two castable names at once, a typed value beside another name, objects and broken numbers."""
+    rows = exports(spark, [("a", [{"cell_index": 1, "Radius": 3, "rad": 4}, {"cell_index": 2, "radius": 2.5, "rad": 7}, {"cell_index": 3, "radius": {"val": 1.5}, "n": 2.5, "rad": None}])])
+    approved = {"radius": ("double", ["radius", "Radius", "rad"]), "n": ("bigint", ["n"]), "label": ("string", ["radius"])}
+    got = {r["cell_index"]: r for r in S.promote(S.ingest(rows), approved).collect()}
+    assert got[1]["radius"] == 3.0 and json.loads(got[1]["rescued"]) == {"rad": 4}
+    assert got[2]["radius"] == 2.5 and json.loads(got[2]["rescued"]) == {"rad": 7}
+    assert got[3]["radius"] is got[3]["n"] is got[3]["label"] is None
+    assert json.loads(got[3]["rescued"]) == {"radius": {"val": 1.5}, "n": 2.5, "rad": None}
+
+
+def test_the_table_keeps_channels_unknown_fields_and_cut_off_records(spark, tmp_path):
+    records = [{"cell_index": 1, "chan": 365, "mask_px": 12, "axis_ratio": 0.5, "fresh": [1]}, {"cell_index": 2, "channel": {"nm": 365}, "led": "red"}, '{"cell_index": 3, "rad', None]
+    exports(spark, [("a", records)]).write.parquet(f"{tmp_path}/noise_exports.parquet")
+    rows = queries.p4_records(spark, str(tmp_path)).collect()
+    got = {r["cell_index"]: r for r in rows if r["valid"]}
+    assert (got[1]["channel"], got[1]["mask_px"], got[1]["tilt"]) == ("365", 12, 0.5) and json.loads(got[1]["rescued"]) == {"fresh": [1]}
+    assert got[2]["channel"] == "red" and json.loads(got[2]["rescued"]) == {"channel": {"nm": 365}}
+    assert [r["unread"] for r in rows if not r["valid"] and r["unread"]] == ['{"cell_index": 3, "rad'] and len(rows) == 4
