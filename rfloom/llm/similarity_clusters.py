@@ -16,8 +16,8 @@ correlations stand side by side in one vector.
    from overlapping regions are united by passing on the smallest leaf.
 4. One pass assigns every cell to its leaf's cluster and measures it against
    the centroid. Cells near enough to it (half the angle) are alike for sure;
-   the others are compared with the members of their cluster one by one, and
-   what doesn't fit leaves and is clustered again.
+   the others are compared with the members of their cluster one by one. What is
+   unlike a cell that stays leaves, and is clustered again with the single cells.
 
 Only pivots (a bounded number) reach the driver. No step forms all pairs of a
 cluster: copies are absorbed by the same leaf.
@@ -409,11 +409,48 @@ def _against(pairs: DataFrame, extra: str) -> DataFrame:
     return pairs.mapInArrow(run, "cluster bigint, outline_id bigint, " + (extra + ", " if extra else "") + "least double, total double")
 
 
+def _parted(unlike: DataFrame) -> DataFrame:
+    """outline_id, part of every cell with an unlike cell above it: the first part without such a cell.
+
+    ``unlike``: cluster, total, outline_id, above (the higher-ranked cell); cells
+    that have none above are in part 0. In rank order, so a cell gives way only
+    to cells that stay in that part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, parts = None, {}
+        cell, taken = None, set()
+
+        def settled() -> None:
+            if cell is not None:
+                parts[cell] = next(p for p in range(len(taken) + 1) if p not in taken)
+
+        def settled_batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array(list(parts.values()), pa.int32())], ["outline_id", "part"])
+
+        for batch in batches:
+            for c, i, above in zip(*(batch[name].to_pylist() for name in ("cluster", "outline_id", "above"))):
+                if c != cluster or i != cell:
+                    settled()
+                    if c != cluster and parts:
+                        yield settled_batch()
+                    cluster, parts = c, parts if c == cluster else {}
+                    cell, taken = i, set()
+                taken.add(parts.get(above, 0))
+        settled()
+        if parts:
+            yield settled_batch()
+
+    rows = unlike.repartition("cluster").sortWithinPartitions("cluster", F.desc("total"), "outline_id")
+    return rows.mapInArrow(run, "outline_id bigint, part int")
+
+
 def clusters(cells: DataFrame, alike: float = ALIKE, max_pivots: int = 1024, region_leaves: int = 1500) -> DataFrame:
     """cluster, outline_id, typicality of every cell in a cluster of two or more (cluster: its smallest outline_id).
 
-    Cells that don't fit are clustered again until none is left over; each round
-    keeps at least the most typical cell of every cluster, so it ends.
+    Where cells of a cluster are unlike, it is parted by rank (``_parted``); one
+    part of two or more stays, and all cells without a cluster are clustered again,
+    until all fit or none is found. Each round keeps at least two cells, so it ends.
     """
     trees = written(feature_trees(cells), "trees")
     roots = trees.where("kind = 'root'")
@@ -428,21 +465,31 @@ def clusters(cells: DataFrame, alike: float = ALIKE, max_pivots: int = 1024, reg
     measured = written(_against(assigned, ""), "measured")
     sure = F.col("least") >= _SURE
     doubtful = measured.where(~sure).select("cluster", "outline_id")
-    if not doubtful.take(1):
-        fitting, leaving = measured, None
+    leavers = bool(doubtful.take(1))
+    if not leavers:
+        fitting = measured.withColumn("part", F.lit(0))
     else:
         asked = doubtful.join(assigned.select("outline_id", "vec"), "outline_id")
         pairs = asked.join(assigned.select("cluster", F.col("outline_id").alias("with_id"), F.col("vec").alias("other")), "cluster").where("outline_id <> with_id")
         unlike = written(_against(pairs, "with_id bigint").where(F.col("least") < alike).select("cluster", "outline_id", "with_id"), "unlike")
         rank = measured.select("outline_id", "total")
         judged = unlike.join(rank, "outline_id").join(rank.select(F.col("outline_id").alias("with_id"), F.col("total").alias("with_total")), "with_id")
-        leaving = written(judged.where((F.col("total") < F.col("with_total")) | ((F.col("total") == F.col("with_total")) & (F.col("outline_id") > F.col("with_id")))).select("outline_id").distinct(), "leaving")
-        fitting = measured.join(leaving, "outline_id", "left_anti")
-    ids = fitting.groupBy("cluster").agg(F.min("outline_id").alias("smallest"), F.count("*").alias("size")).where("size > 1")
-    found = fitting.join(ids, "cluster").select(F.col("smallest").alias("cluster"), "outline_id", (F.col("total") / CURVES).alias("typicality"))
-    if leaving is None or not leaving.take(1):
+        # both ends of a pair are judged, also if only one of them was asked
+        ends = [F.struct(F.col("total"), (-F.col("outline_id")).alias("by"), F.col("outline_id").alias("id")), F.struct(F.col("with_total").alias("total"), (-F.col("with_id")).alias("by"), F.col("with_id").alias("id"))]
+        ranked = judged.select("cluster", F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
+        parts = _parted(ranked.select("cluster", F.col("low.total").alias("total"), F.col("low.id").alias("outline_id"), F.col("high.id").alias("above")).distinct())
+        fitting = written(measured.join(parts, "outline_id", "left").select("cluster", "outline_id", "total", F.coalesce("part", F.lit(0)).alias("part")), "fitting")
+    sizes = fitting.groupBy("cluster", "part").agg(F.min("outline_id").alias("smallest"), F.count("*").alias("size"))
+    # the first part of two or more stays (if any two cells of the cluster are alike, there is one)
+    ids = sizes.where("size > 1").groupBy("cluster").agg(F.min_by(F.struct("part", "smallest"), "part").alias("kept")).select("cluster", "kept.*")
+    found = fitting.join(ids, ["cluster", "part"]).select(F.col("smallest").alias("cluster"), "outline_id", (F.col("total") / CURVES).alias("typicality"))
+    if not leavers or not fitting.where("part > 0").take(1):
+        return found
+    found = written(found, "found")
+    if not found.take(1):
         return found
-    again = cells.join(leaving, "outline_id", "left_semi")
+    # whoever is in no cluster, single cells too, is compared again
+    again = written(cells.join(found.select("outline_id"), "outline_id", "left_anti"), "again")
     return found.unionByName(clusters(again, alike, max_pivots, region_leaves))
 
 

@@ -108,3 +108,23 @@ def test_trees_merge():
     assert counts.sum() == 300 and np.allclose(sums.sum(0), points.sum(0))
     counts, _ = whole.top(40)
     assert counts.sum() == 300 and len(counts) <= 40
+
+
+def test_groups_merged_by_their_centroids_are_parted(spark):
+    """Two groups whose centroids are alike, but no members across; ranked in turn, so that each has an unlike cell above it."""
+    a = np.radians(np.arange(36) * 10)
+    for size in (2, 4):
+        cells = []
+        for i in range(2 * size):
+            base = np.cos(a) if i % 2 == 0 else 0.97 * np.cos(a) + np.sqrt(1 - 0.97**2) * np.cos(2 * a)
+            cells.append([base + np.sqrt(0.088 + 0.002 * i) * np.cos((i + 3) * a), np.cos(2 * a), np.linspace(0, 1, 32), np.linspace(1, 0, 40) ** 2])
+        outs, paths = tables(spark, cells)
+        want = brute(spark, outs, paths)
+        assert len(want) == 2 * size - 2
+        assert found(spark, outs, paths, 1) == want
+
+
+def test_a_cell_gives_way_only_to_cells_that_stay(spark):
+    rows = [(7, 3.0, 2, 1), (7, 2.0, 3, 2), (7, 1.0, 4, 3), (7, 1.0, 4, 1), (8, 1.0, 6, 5)]
+    got = S._parted(spark.createDataFrame(rows, "cluster bigint, total double, outline_id bigint, above bigint")).collect()
+    assert {tuple(r) for r in got} == {(2, 1), (3, 0), (4, 1), (6, 1)}
