@@ -105,3 +105,12 @@ def test_best_shift_and_neighbours(spark):
     assert (got["dy"], got["dx"]) == (1, -2)
     block = spark.createDataFrame([(0, y, x, 1.0) for y in range(3) for x in range(3)] + [(0, 9, 9, 1.0)], "label int, y int, x int, v double")
     assert pairs.drop_singled(block, ["label"], 3 / 8).count() == 9
+
+
+def test_semi_nmf_runs_until_the_loss_stands(spark):
+    x = np.random.default_rng(6).normal(size=(200, 12))
+    _, losses = reduction.semi_nmf(images(spark, x.reshape(200, 1, 12)), "embedding", 12, 3)
+    fall = [(a - b) / a for a, b in zip(losses, losses[1:])]
+    assert 10 < len(losses) <= 200 and (fall[-1] < 1e-4 or len(losses) == 200) and all(f >= 1e-4 for f in fall[10:-1])
+    _, longest = reduction.semi_nmf(images(spark, x.reshape(200, 1, 12)), "embedding", 12, 3, tol=-1.0)
+    assert len(longest) == 200
