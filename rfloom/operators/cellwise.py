@@ -74,3 +74,28 @@ def envelope(data: Column) -> Column:
 def spectrum(data: Column, shape: tuple[int, int]) -> Column:
     """log(1 + magnitude) of the centred 2-D Fourier transform."""
     return _per_image(lambda image: np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(image)))), shape)(data)
+
+
+def bridged(data: Column, at: Column | None = None) -> Column:
+    """Each row's series with its holes interpolated: over the times ``at``, ends held, or without them around the circle; null without a finite value."""
+
+    def one(values: np.ndarray | None, times: np.ndarray | None = None) -> list[float] | None:
+        if values is None or not len(values):
+            return None
+        y = np.array([np.nan if v is None else v for v in values], float)
+        known, around = np.isfinite(y), times is None
+        x = np.arange(len(y)) if around else np.array([np.nan if t is None else t for t in times], float)
+        if not known.any() or len(x) != len(y) or not np.isfinite(x).all():
+            return None
+        return np.where(known, y, np.interp(x, x[known], y[known], period=len(y) if around else None)).tolist()
+
+    @F.pandas_udf("array<double>")
+    def around(series: pd.Series) -> pd.Series:
+        return pd.Series([one(v) for v in series], dtype=object)
+
+    @F.pandas_udf("array<double>")
+    def along(series: pd.Series, times: pd.Series) -> pd.Series:
+        return pd.Series([one(v, t if t is not None else []) for v, t in zip(series, times)], dtype=object)
+
+    doubles = F.transform(data, lambda v: v.cast("double"))
+    return around(doubles) if at is None else along(doubles, at)

@@ -16,7 +16,7 @@ from rfloom.functions import geometry as G
 from rfloom.functions.arrays import rounded, sql_rounded
 from rfloom.operators import cellwise, graph, pairs, reduction, tensors
 from rfloom.operators import statistics as S
-from rfloom.tables import finite, table
+from rfloom.tables import finite, join_same, table
 
 SIDE = 8
 CELL = ["recording", "channel", "cell_index"]
@@ -63,6 +63,16 @@ def whole_outlines(spark: SparkSession, folder: str) -> DataFrame:
     return outlines(spark, folder).where((A.total("center") != 0) & (F.size(A.clean(F.col("center"))) == F.size("center")))
 
 
+def every_outline(spark: SparkSession, folder: str) -> DataFrame:
+    """All outlines, holes bridged around the circle; null curves where nothing is known."""
+    return outlines(spark, folder).withColumns({c: cellwise.bridged(F.col(c)) for c in ("center", "surround")})
+
+
+def every_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """All traces, holes bridged over time."""
+    return traces(spark, folder).withColumn("v", cellwise.bridged(F.col("v"), F.col("time_ms")))
+
+
 def traces(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "sta_traces").dropDuplicates(CELL)
 
@@ -260,16 +270,16 @@ _LIST_TAIL = "list_transform(v, lambda a: CAST(a AS DOUBLE))"
 @query(f"""WITH {_TRACES}, w AS (SELECT recording, channel, cell_index, list_transform(v, lambda a: CAST(a AS DOUBLE)) AS d FROM paths WHERE len(list_filter(v, lambda a: a IS NULL OR NOT isfinite(a))) = 0 AND len(v) > 0),
 s AS (SELECT *, list_avg(d) AS m, list_stddev_pop(list_slice(d, greatest(len(d) - 29, 1), len(d))) AS sd FROM w), e AS (SELECT recording, channel, cell_index, m, sd, unnest(d) AS x, generate_subscripts(d, 1) - 1 AS position FROM s)
 SELECT recording, channel, cell_index, CAST(position AS INT) AS position, {sql_rounded('(x - m) / coalesce(nullif(sd, 0), 1)', 4)} AS z FROM e""")
-def zscore_tail(spark, folder):
-    whole = traces(spark, folder).where((F.size(A.clean(F.col("v"))) == F.size("v")) & (F.size("v") > 0))
+def zscore_tail(spark, folder, traces_of=traces):
+    whole = traces_of(spark, folder).where((F.size(A.clean(F.col("v"))) == F.size("v")) & (F.size("v") > 0))
     z = A.tail_zscore(F.transform("v", lambda v: v.cast("double")))
     return whole.select(*CELL, F.posexplode(z).alias("position", "z")).withColumn("z", rounded(F.col("z"), 4))
 
 
 @query(f"""WITH {_TRACES}, w AS (SELECT * FROM paths WHERE len(list_filter(v, lambda a: a IS NULL OR NOT isfinite(a))) = 0), e AS (SELECT recording, channel, cell_index, CAST(unnest(v) AS DOUBLE) AS x, unnest(time_ms) AS t, generate_subscripts(v, 1) - 1 AS position FROM w),
 m AS (SELECT recording, channel, cell_index, avg(x) AS a, stddev_samp(x) AS s FROM e WHERE t > 0 GROUP BY ALL) SELECT recording, channel, cell_index, CAST(position AS INT) AS position, {sql_rounded('(x - a) / nullif(s, 0)', 4)} AS z FROM e LEFT JOIN m USING (recording, channel, cell_index)""")
-def zscore_noise(spark, folder):
-    whole = traces(spark, folder).where(F.size(A.clean(F.col("v"))) == F.size("v"))
+def zscore_noise(spark, folder, traces_of=traces):
+    whole = traces_of(spark, folder).where(F.size(A.clean(F.col("v"))) == F.size("v"))
     return whole.select(*CELL, F.posexplode(A.noise_zscore(F.col("v"), F.col("time_ms"))).alias("position", "z")).withColumn("z", rounded(F.col("z"), 4))
 
 
@@ -305,8 +315,8 @@ def robust_scale(spark, folder):
 
 
 @query(f"WITH {_OUTLINES}, e AS (SELECT outline_id, n, unnest(center) AS a, unnest(list_concat(center[2:], center[1:1])) AS b FROM whole WHERE n >= 3) SELECT outline_id, {sql_rounded('0.5 * sin(2 * pi() / n) * sum(a * b)', 3)} AS area FROM e GROUP BY outline_id, n")
-def radial_area(spark, folder):
-    return whole_outlines(spark, folder).where(F.size("center") >= 3).select("outline_id", rounded(G.radial_area(F.col("center")), 3).alias("area"))
+def radial_area(spark, folder, rows_of=whole_outlines):
+    return rows_of(spark, folder).where(F.size("center") >= 3).select("outline_id", rounded(G.radial_area(F.col("center")), 3).alias("area"))
 
 
 _POINTS = f"""{_OUTLINES}, e AS (SELECT outline_id, n, unnest(center) AS r, generate_subscripts(center, 1) - 1 AS i FROM whole), p AS (SELECT outline_id, r * cos(i * 2 * pi() / n) AS x, r * sin(i * 2 * pi() / n) AS y FROM e),
@@ -315,29 +325,29 @@ m AS (SELECT outline_id, count(*) AS n, any_value(mx) AS mx, any_value(my) AS my
 k AS (SELECT *, ((suuu + suvv) / 2 * svv - (svvv + svuu) / 2 * suv) / nullif(suu * svv - suv * suv, 0) AS uc, ((svvv + svuu) / 2 * suu - (suuu + suvv) / 2 * suv) / nullif(suu * svv - suv * suv, 0) AS vc FROM m)"""
 
 
-def _fitted(spark, folder):
-    rows = whole_outlines(spark, folder).select("outline_id", G.vertices(F.col("center")).alias("points"))
+def _fitted(spark, folder, rows_of=whole_outlines):
+    rows = rows_of(spark, folder).select("outline_id", G.vertices(F.col("center")).alias("points"))
     return rows.withColumn("m", G.moments(F.col("points"))).withColumn("circle", G.circle_fit(F.col("m")))
 
 
 @query(f"WITH {_POINTS} SELECT outline_id, {sql_rounded('uc + mx', 3)} AS xc, {sql_rounded('vc + my', 3)} AS yc, {sql_rounded('sqrt(uc * uc + vc * vc + (suu + svv) / n)', 3)} AS radius FROM k")
-def circle_fit(spark, folder):
-    return _fitted(spark, folder).select("outline_id", *[rounded(F.col(f"circle.{c}"), 3).alias(c) for c in ("xc", "yc", "radius")])
+def circle_fit(spark, folder, rows_of=whole_outlines):
+    return _fitted(spark, folder, rows_of).select("outline_id", *[rounded(F.col(f"circle.{c}"), 3).alias(c) for c in ("xc", "yc", "radius")])
 
 
 @query(f"WITH {_POINTS} SELECT outline_id, {sql_rounded('max(sqrt((x - uc - k.mx) * (x - uc - k.mx) + (y - vc - k.my) * (y - vc - k.my))) - min(sqrt((x - uc - k.mx) * (x - uc - k.mx) + (y - vc - k.my) * (y - vc - k.my)))', 3)} AS tir, {sql_rounded('sqrt(any_value(uc + k.mx) * any_value(uc + k.mx) + any_value(vc + k.my) * any_value(vc + k.my))', 3)} AS center_shift FROM p JOIN k USING (outline_id) GROUP BY outline_id")
-def roundness(spark, folder):
-    return _fitted(spark, folder).select("outline_id", rounded(G.tir(F.col("points"), F.col("circle")), 3).alias("tir"), rounded(F.hypot("circle.xc", "circle.yc"), 3).alias("center_shift"))
+def roundness(spark, folder, rows_of=whole_outlines):
+    return _fitted(spark, folder, rows_of).select("outline_id", rounded(G.tir(F.col("points"), F.col("circle")), 3).alias("tir"), rounded(F.hypot("circle.xc", "circle.yc"), 3).alias("center_shift"))
 
 
 @query(f"WITH {_POINTS}, a AS (SELECT *, (suu + svv) / 2 AS h, sqrt((suu - svv) * (suu - svv) / 4 + suv * suv) AS r FROM k) SELECT outline_id, {sql_rounded('sqrt(greatest(h - r, 0) / nullif(h + r, 0))')} AS tilt, {sql_rounded('(degrees(atan2(2 * suv, suu - svv) / 2) + 180) % 180', 3)} AS angle FROM a")
-def tilt_angle(spark, folder):
-    return _fitted(spark, folder).select("outline_id", rounded(G.tilt(F.col("m"))).alias("tilt"), rounded(G.axis_angle(F.col("m")), 3).alias("angle"))
+def tilt_angle(spark, folder, rows_of=whole_outlines):
+    return _fitted(spark, folder, rows_of).select("outline_id", rounded(G.tilt(F.col("m"))).alias("tilt"), rounded(G.axis_angle(F.col("m")), 3).alias("angle"))
 
 
 @query(f"WITH {_OUTLINES} SELECT outline_id, len(center) AS bins, {sql_rounded('list_max(center)')} AS longest, {sql_rounded('list_min(center)')} AS shortest, list_position(center, list_max(center)) - 1 AS first_longest FROM whole".replace("len(center) AS bins", "CAST(len(center) AS INT) AS bins").replace("list_position(center, list_max(center)) - 1", "CAST(list_position(center, list_max(center)) - 1 AS BIGINT)"))
-def array_extrema(spark, folder):
-    return whole_outlines(spark, folder).select("outline_id", F.size("center").alias("bins"), rounded(F.array_max("center")).alias("longest"), rounded(F.array_min("center")).alias("shortest"), A.first_argmax(F.col("center")).alias("first_longest"))
+def array_extrema(spark, folder, rows_of=whole_outlines):
+    return rows_of(spark, folder).select("outline_id", F.size("center").alias("bins"), rounded(F.array_max("center")).alias("longest"), rounded(F.array_min("center")).alias("shortest"), A.first_argmax(F.col("center")).alias("first_longest"))
 
 
 @query(f"WITH {_OUTLINES}, e AS (SELECT channel, len(center) AS bins, unnest(center) AS v, generate_subscripts(center, 1) - 1 AS position FROM outs) SELECT channel, CAST(bins AS INT) AS bins, CAST(position AS INT) AS position, {sql_rounded('avg(v)', 3)} AS mean FROM e WHERE isfinite(v) GROUP BY ALL")
@@ -366,16 +376,16 @@ def resample_linear(spark, folder):
 
 @query(f"""WITH {_POINTS}, s AS (SELECT e.outline_id, i, sqrt(power(r * cos(i * 2 * pi() / n) - r2 * cos(j * 2 * pi() / n), 2) + power(r * sin(i * 2 * pi() / n) - r2 * sin(j * 2 * pi() / n), 2)) AS d
 FROM e JOIN (SELECT outline_id, (i - 1 + n) % n AS i, r AS r2, i AS j FROM e) USING (outline_id, i)) SELECT outline_id, {sql_rounded('sum(d)', 3)} AS perimeter FROM s GROUP BY outline_id""")
-def arc_length(spark, folder):
-    rows = whole_outlines(spark, folder).select("outline_id", G.closed(G.vertices(F.col("center"))).alias("p"))
+def arc_length(spark, folder, rows_of=whole_outlines):
+    rows = rows_of(spark, folder).select("outline_id", G.closed(G.vertices(F.col("center"))).alias("p"))
     steps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
     return rows.select("outline_id", rounded(A.total(steps), 3).alias("perimeter"))
 
 
 @query(f"WITH {_OUTLINES}, {_TRACES}, f AS (SELECT recording, channel, cell_index, 1 AS k, list_transform(center, lambda a: CAST(a AS DOUBLE)) AS a FROM whole UNION ALL SELECT recording, channel, cell_index, 2, list_transform(v, lambda a: CAST(a AS DOUBLE)) FROM paths) SELECT recording, channel, cell_index, CAST(sum(len(a)) AS BIGINT) AS features FROM f GROUP BY ALL HAVING count(*) = 2")
-def feature_stack(spark, folder):
+def feature_stack(spark, folder, rows_of=whole_outlines, traces_of=traces):
     double = lambda c: F.transform(c, lambda v: v.cast("double")).alias("a")
-    rows = whole_outlines(spark, folder).select(*CELL, F.lit(1).alias("k"), double("center")).unionByName(traces(spark, folder).select(*CELL, F.lit(2).alias("k"), double("v")))
+    rows = rows_of(spark, folder).select(*CELL, F.lit(1).alias("k"), double("center")).unionByName(traces_of(spark, folder).select(*CELL, F.lit(2).alias("k"), double("v")))
     stacked = rows.groupBy(*CELL).agg(F.count("*").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "a"))), lambda s: s["a"])).alias("a"))
     return stacked.where("n = 2").select(*CELL, F.size("a").cast("bigint").alias("features"))
 
@@ -650,9 +660,9 @@ far AS (SELECT outline_id, max(sqrt((x - uc - k.mx) ** 2 + (y - vc - k.my) ** 2)
 axes AS (SELECT *, (suu + svv) / 2 AS h, sqrt((suu - svv) * (suu - svv) / 4 + suv * suv) AS r FROM k)
 SELECT outline_id, {sql_rounded('area * 1e-6')} AS center_size_mm2, {sql_rounded('tir', 3)} AS tir, {sql_rounded('sqrt((uc + mx) ** 2 + (vc + my) ** 2)', 3)} AS center_shift, {sql_rounded('sqrt(greatest(h - r, 0) / nullif(h + r, 0))')} AS tilt, {sql_rounded('(degrees(atan2(2 * suv, suu - svv) / 2) + 180) % 180', 3)} AS angle
 FROM axes JOIN area USING (outline_id) JOIN far USING (outline_id)""")
-def rf_stats(spark, folder):
+def rf_stats(spark, folder, rows_of=whole_outlines):
     """All shape statistics of a cell's centre outline in one pass over its row."""
-    rows = whole_outlines(spark, folder).select("outline_id", "center", G.vertices(F.col("center")).alias("points"))
+    rows = rows_of(spark, folder).select("outline_id", "center", G.vertices(F.col("center")).alias("points"))
     rows = rows.withColumn("m", G.moments(F.col("points"))).withColumn("circle", G.circle_fit(F.col("m")))
     return rows.select(
         "outline_id", rounded(G.radial_area(F.col("center")) * 1e-6).alias("center_size_mm2"), rounded(G.tir(F.col("points"), F.col("circle")), 3).alias("tir"),
@@ -696,14 +706,74 @@ def spectrum(spark, folder):
 
 @query()
 def bandpass(spark, folder):
-    """Traces without holes, band-passed between 2 and 20 Hz."""
-    whole = traces(spark, folder).where(F.size(A.clean(F.col("v"))) == F.size("v"))
+    """Every trace, holes bridged, band-passed between 2 and 20 Hz; one row of nulls where it can't be."""
+    whole = every_trace(spark, folder)
     rate = F.lit(1000.0) / F.nullif(F.get("time_ms", F.lit(1)) - F.get("time_ms", F.lit(0)), F.lit(0.0))
-    return whole.select(*CELL, F.posexplode(cellwise.band_passed(F.transform("v", lambda v: v.cast("double")), 2.0, 20.0, rate)).alias("position", "v"))
+    return whole.select(*CELL, F.posexplode_outer(cellwise.band_passed(F.transform("v", lambda v: v.cast("double")), 2.0, 20.0, rate)).alias("position", "v"))
 
 
 @query()
 def envelope(spark, folder):
-    """Magnitude of the analytic signal of traces without holes."""
-    whole = traces(spark, folder).where(F.size(A.clean(F.col("v"))) == F.size("v"))
-    return whole.select(*CELL, F.posexplode(cellwise.envelope(F.transform("v", lambda v: v.cast("double")))).alias("position", "v"))
+    """Magnitude of the analytic signal of every trace, holes bridged; one row of nulls where nothing is known."""
+    whole = every_trace(spark, folder)
+    return whole.select(*CELL, F.posexplode_outer(cellwise.envelope(F.transform("v", lambda v: v.cast("double")))).alias("position", "v"))
+
+
+# --- every cell: the queries above on all outlines and traces -------------------------------------------
+
+_WHOLE = _OUTLINES[_OUTLINES.index("whole AS") :]
+
+
+def _sql_around(c: str) -> str:
+    """Curve ``c`` with its holes bridged around the circle."""
+    known = f"list_filter(range(-len({c}), 2 * len({c})), lambda k: isfinite({c}[(k + len({c})) % len({c}) + 1]))"
+    low, high = f"list_max(list_filter({known}, lambda k: k <= i))", f"list_min(list_filter({known}, lambda k: k >= i))"
+    value = lambda k: f"{c}[({k} + len({c})) % len({c}) + 1]"
+    return f"CASE WHEN len({known}) > 0 THEN list_transform(range(len({c})), lambda i: CASE WHEN isfinite({c}[i + 1]) THEN {c}[i + 1] ELSE {value(low)} + ({value(high)} - {value(low)}) * (i - {low}) / ({high} - {low}) END) END"
+
+
+_EVERY = f"whole AS (SELECT *, len(center) AS n FROM (SELECT * REPLACE ({_sql_around('center')} AS center, {_sql_around('surround')} AS surround) FROM outs))"
+_KNOWN = "list_filter(range(1, len(v) + 1), lambda k: isfinite(v[k]))"
+_LOW, _HIGH = f"list_max(list_filter({_KNOWN}, lambda k: k <= i))", f"list_min(list_filter({_KNOWN}, lambda k: k >= i))"
+_EVERY_TRACE = f"""{_TRACES.replace("paths AS", "stored AS")}, paths AS (SELECT recording, channel, cell_index, time_ms, CASE WHEN len({_KNOWN}) > 0 THEN list_transform(range(1, len(v) + 1), lambda i: CASE WHEN isfinite(v[i]) THEN CAST(v[i] AS DOUBLE)
+  ELSE coalesce(v[{_LOW}] + (CAST(v[{_HIGH}] AS DOUBLE) - v[{_LOW}]) * (time_ms[i] - time_ms[{_LOW}]) / (time_ms[{_HIGH}] - time_ms[{_LOW}]), v[{_LOW}], v[{_HIGH}]) END) END AS v FROM stored)"""
+
+
+def _for_every(name: str, keys: list[str], stored: str, **sources) -> None:
+    """Registers ``name``_all: a row at least for each stored key, nulls where nothing can be computed."""
+    whole, all_keys = QUERIES[name], ", ".join(keys)
+    rest = lambda df: [c for c in df.columns if c not in keys]
+
+    def run(spark, folder):
+        found = whole(spark, folder, **sources)
+        return join_same(table(spark, folder, stored).select(*keys).distinct(), found, keys, "left").select(*keys, *rest(found))
+
+    QUERIES[f"{name}_all"] = run
+    inner = SQL[name].replace(_WHOLE, _EVERY).replace(_TRACES, _EVERY_TRACE)
+    on = " AND ".join(f"k.{c} IS NOT DISTINCT FROM q.{c}" for c in keys)
+    SQL[f"{name}_all"] = f"SELECT k.*, q.* EXCLUDE ({all_keys}) FROM (SELECT DISTINCT {all_keys} FROM {stored}) k LEFT JOIN ({inner}) q ON {on}"
+
+
+for _name in ("radial_area", "circle_fit", "roundness", "tilt_angle", "array_extrema", "arc_length"):
+    _for_every(_name, ["outline_id"], "outlines", rows_of=every_outline)
+for _name in ("zscore_tail", "zscore_noise"):
+    _for_every(_name, CELL, "sta_traces", traces_of=every_trace)
+_for_every("feature_stack", CELL, "outlines", rows_of=every_outline, traces_of=every_trace)
+_for_every("rf_stats", ["outline_id"], "outlines", rows_of=every_outline)
+
+_AREA = "list_sum(list_transform(range(1, len({c}) + 1), lambda i: {c}[i] * {c}[i % len({c}) + 1])) * 0.5 * sin(2 * pi() / len({c}))"
+SQL["rf_stats_all"] = f"""WITH {_OUTLINES.replace(_WHOLE, _EVERY)}, {_CHANNELS}, shapes AS ({SQL["rf_stats_all"]})
+SELECT outline_id, {sql_rounded("CASE WHEN len(center) >= 3 THEN " + _AREA.format(c="center") + " * pixel_size * pixel_size * 1e-6 END")} AS center_size_mm2,
+  {sql_rounded("CASE WHEN len(surround) >= 3 THEN " + _AREA.format(c="surround") + " * pixel_size * pixel_size * 1e-6 END")} AS surround_size_mm2, tir, center_shift, tilt, angle
+FROM shapes JOIN whole USING (outline_id) LEFT JOIN stims USING (recording, channel)"""
+_shapes = QUERIES["rf_stats_all"]
+
+
+def rf_stats_all(spark, folder):
+    """Shape statistics of every outline, with the areas of centre and surround scaled by the pixel size as in the reference."""
+    size = lambda c: rounded(G.radial_area(F.col(c)) * F.col("pixel_size") * F.col("pixel_size") * 1e-6).alias(f"{c}_size_mm2")
+    rows = join_same(every_outline(spark, folder), stimuli(spark, folder).select("recording", "channel", "pixel_size"), ["recording", "channel"], "left")
+    return rows.select("outline_id", size("center"), size("surround")).join(_shapes(spark, folder).drop("center_size_mm2"), "outline_id")
+
+
+QUERIES["rf_stats_all"] = rf_stats_all

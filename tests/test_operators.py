@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rfloom.operators import cellwise, graph, pairs, reduction, tensors
+from rfloom.plans import rf_queries
 from rfloom.operators import statistics as S
 
 
@@ -114,3 +115,24 @@ def test_semi_nmf_runs_until_the_loss_stands(spark):
     assert 10 < len(losses) <= 200 and (fall[-1] < 1e-4 or len(losses) == 200) and all(f >= 1e-4 for f in fall[10:-1])
     _, longest = reduction.semi_nmf(images(spark, x.reshape(200, 1, 12)), "embedding", 12, 3, tol=-1.0)
     assert len(longest) == 200
+
+
+def test_every_outline_and_trace_gets_rows(spark, tmp_path):
+    """Holed, all-zero and all-hole outlines, a holed and an all-hole trace."""
+    outs = [(1, "r", "c", 1, [1.0, float("nan"), 1.0, 1.0], [2.0, 2.0, None, 2.0]), (2, "r", "c", 2, [0.0] * 4, None), (3, "r", "c", 3, [None] * 4, [2.0] * 4)]
+    kind = "outline_id bigint, recording string, channel string, cell_index int, center array<double>, surround array<double>"
+    spark.createDataFrame([(*o, None) for o in outs], kind + ", loaded_at timestamp").write.parquet(f"{tmp_path}/outlines.parquet")
+    stimulus = ("image_w", "image_h", "pixel_size", "dt_ms", "post_spike_bins", "total_sta_len", "stimulus_id")
+    spark.createDataFrame([("r", "c", *[3.0] * 7)], "recording string, channel string, " + ", ".join(f"{n} double" for n in stimulus)).write.parquet(f"{tmp_path}/channels.parquet")
+    traces = [("r", "c", 1, [float(t) for t in range(10)], [0.0, None, *map(float, range(2, 10))]), ("r", "c", 2, [0.0, 1.0], [None, None])]
+    spark.createDataFrame(traces, "recording string, channel string, cell_index int, time_ms array<double>, v array<float>").write.parquet(f"{tmp_path}/sta_traces.parquet")
+    got = {r["outline_id"]: r for r in rf_queries.QUERIES["rf_stats_all"](spark, str(tmp_path)).collect()}
+    assert (got[1]["center_size_mm2"], got[1]["surround_size_mm2"], got[1]["tilt"]) == (1.8e-5, 7.2e-5, 1.0)
+    assert (got[2]["center_size_mm2"], got[2]["surround_size_mm2"], got[2]["tilt"]) == (0.0, None, None)
+    assert got[3]["center_size_mm2"] is None and got[3]["surround_size_mm2"] == 7.2e-5
+    for name in ("radial_area_all", "circle_fit_all", "roundness_all", "tilt_angle_all", "array_extrema_all", "arc_length_all"):
+        assert {r["outline_id"] for r in rf_queries.QUERIES[name](spark, str(tmp_path)).collect()} == {1, 2, 3}
+    for name in ("zscore_tail_all", "zscore_noise_all", "bandpass", "envelope"):
+        rows = rf_queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted((r["cell_index"], r["position"]) for r in rows if r["position"] is not None) == [(1, i) for i in range(10)]
+        assert [r["position"] for r in rows if r["cell_index"] == 2] == [None]
