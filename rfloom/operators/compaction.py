@@ -185,4 +185,5 @@ def compact_components(files: DataFrame, channels: DataFrame, buckets: int = 12)
     store = SmallFileStore(spark, scratch(spark, "nmf"), KEY, ["recording", "channel", "cell_idx"], buckets)
     store.append(components(files, channels).withColumn("n_files", F.lit(1).cast("bigint")))
     store.compact(["n_bytes", "weights"], max_small_files=1)
-    return store.read()
+    # partitions that weren't rewritten (large or single files) may hold a component more than once
+    return consolidate(store.read(), KEY, ["n_bytes", "weights"])

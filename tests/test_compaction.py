@@ -89,3 +89,11 @@ def test_conflicting_writers(spark, tmp_path):
     report = store.compact(["n_bytes", "weights"])
     assert report.rewritten and store.read().count() == 2
     assert store.read().first()["file_id"] == 50
+
+
+def test_large_and_single_files_are_consolidated_too(spark):
+    """No partition has two small files here, so none is rewritten."""
+    path = lambda cell: f"/x/rec_1_p0/560_nm/cell_{cell}/w.npy"
+    rows = [row(1, path(1), size=100 << 20), row(2, path(1), weights=(5.0, 6.0, 7.0, 8.0), at=1, size=200 << 20), row(3, path(2), size=100 << 20), row(3, path(2), size=100 << 20, at=1)]
+    got = C.compact_components(files(spark, rows), None, 4).collect()
+    assert sorted((r["cell_idx"], r["component"], r["n_files"], r["file_id"]) for r in got) == [(1, 0, 2, 2), (1, 1, 2, 2), (2, 0, 1, 3), (2, 1, 1, 3)]
