@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,16 +15,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A folder of this process, for a driver that is its own executor; it goes with the process."""
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    known = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, known, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(f"file://{known}")
+    return spark.sparkContext.getCheckpointDir()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            known = tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(f"file://{known}")
-        folder = known
-    return folder.rstrip("/")
+    """The cluster's spark.checkpoint.dir; where it is unset in local mode (tests), one of our own; an error elsewhere."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or _own_folder(spark)).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -54,41 +54,83 @@ def test_extra_columns_are_ignored(spark):
     assert set(found(C.compact_components(rows, channels, 4))) == {("a", "b", 1, 0), ("a", "b", 1, 1)}
 
 
-def store_of(spark, tmp_path, rows):
-    store = C.SmallFileStore(spark, f"file://{tmp_path}/store", C.KEY, ["recording", "channel", "cell_idx"], 4)
-    store.append(C.components(files(spark, rows)).withColumn("n_files", F.lit(1).cast("bigint")))
+def store_of(spark, tmp_path, rows, buckets=4):
+    store = C.SmallFileStore(spark, f"file://{tmp_path}/store", C.KEY, ["recording", "channel", "cell_idx"], buckets)
+    store.append(stored(spark, rows))
     return store
 
 
+def stored(spark, rows):
+    return C.components(files(spark, rows)).withColumn("n_files", F.lit(1).cast("bigint"))
+
+
+def listed(store):
+    return {r["part"]: r["n_files"] for r in store.snapshot().collect()}
+
+
 def test_only_crowded_partitions_are_rewritten(spark, tmp_path):
-    rows = [row(i, f"r/c/cell_{i % 3}/w", at=i) for i in range(30)] + [row(99, "lonely/c/cell_7/w")]
-    store = store_of(spark, tmp_path, rows)
-    before = {r["part"]: r["fingerprint"] for r in store.snapshot().collect()}
-    lonely = store.read().where("recording = 'lonely'").first()["part"]
+    rows = [row(i, f"r/c/cell_{i % 3}/w", at=i) for i in range(30)]
+    store = store_of(spark, tmp_path, rows, 64)
+    lonely = stored(spark, [row(99, "lonely/c/cell_7/w")])
+    store.append(lonely)
+    alone = store.read().where("recording = 'lonely'").first()["part"]
     crowded = {r["part"] for r in store.read().where("recording = 'r'").select("part").distinct().collect()}
+    assert alone not in crowded
+    before = store.live(2)
     report = store.compact(["n_bytes", "weights"], max_small_files=3)
-    after = {r["part"]: (r["fingerprint"], r["n_files"]) for r in store.snapshot().collect()}
-    assert set(report.rewritten) == crowded and not report.conflicts and report.version == 2 == store.version()
-    assert all(after[p][1] == 1 for p in crowded)
-    assert lonely in crowded or after[lonely][0] == before[lonely]
+    assert set(report.rewritten) == crowded and not report.conflicts and report.version == 3 == store.version()
+    after, counts = store.live(3), listed(store)
+    assert all(counts[p] == 1 for p in crowded) and after[alone] == before[alone]
     assert store.read().where("recording = 'r'").count() == 6
     assert sum(r["n_files"] for r in store.read().where("recording = 'r' and component = 0").collect()) == 30
-    # a second run finds nothing to do for the same content
-    store.compact(["n_bytes", "weights"], max_small_files=3)
-    assert store.read().where("recording = 'r'").count() == 6
+    assert store.read(2).count() == 62  # an earlier version reads as it was
+    # a second run finds nothing to do
+    assert store.compact(["n_bytes", "weights"], max_small_files=3).rewritten == [] and store.version() == 3
+
+
+def test_appends_between_reading_and_publishing_stay(spark, tmp_path):
+    store = store_of(spark, tmp_path, [row(i, "r/c/cell_1/w", at=i) for i in range(8)])
+    other = C.SmallFileStore(spark, store.root, C.KEY, store.bucket_by)
+    late = stored(spark, [row(50, "r/c/cell_1/w", at=50)])
+    report = store.compact(["n_bytes", "weights"], before_publish=lambda: other.append(late))
+    assert report.rewritten and not report.conflicts and store.version() == 3
+    assert sorted((r["file_id"], r["n_files"]) for r in store.read().collect()) == [(7, 8), (7, 8), (50, 1), (50, 1)]
+    assert store.compact(["n_bytes", "weights"]).rewritten
+    assert [(r["file_id"], r["n_files"]) for r in store.read().collect()] == [(50, 9), (50, 9)]
+
 
+def test_an_append_that_finds_its_version_taken_builds_on_it(spark, tmp_path):
+    store = store_of(spark, tmp_path, [row(i, "r/c/cell_1/w", at=i) for i in range(4)])
+    other = C.SmallFileStore(spark, store.root, C.KEY, store.bucket_by)
+    version = store.append(stored(spark, [row(60, "r/c/cell_1/w", at=60)]), before_publish=lambda: other.compact(["n_bytes", "weights"]))
+    assert version == 3
+    assert sorted((r["file_id"], r["n_files"]) for r in store.read().collect()) == [(3, 4), (3, 4), (60, 1), (60, 1)]
 
-def test_conflicting_writers(spark, tmp_path):
+
+def test_two_compactions_of_one_partition_conflict(spark, tmp_path):
     store = store_of(spark, tmp_path, [row(i, "r/c/cell_1/w", at=i) for i in range(8)])
-    late = C.components(files(spark, [row(50, "r/c/cell_1/w", at=50)])).withColumn("n_files", F.lit(1).cast("bigint"))
-    report = store.compact(["n_bytes", "weights"], before_publish=lambda: store._bucketed(late).write.mode("append").partitionBy("part").parquet(store.data))
-    assert report.conflicts and not report.rewritten
-    assert store.read().count() == 18  # nothing lost: 8 x 2 and the late 2
+    other = C.SmallFileStore(spark, store.root, C.KEY, store.bucket_by)
+    report = store.compact(["n_bytes", "weights"], before_publish=lambda: other.compact(["n_bytes", "weights"]))
+    assert report.conflicts and not report.rewritten and store.version() == 2
+    assert [(r["file_id"], r["n_files"]) for r in store.read().collect()] == [(7, 8), (7, 8)]
     with pytest.raises(C.CompactionConflict):
-        store._commit(1, "append")
-    report = store.compact(["n_bytes", "weights"])
-    assert report.rewritten and store.read().count() == 2
-    assert store.read().first()["file_id"] == 50
+        store._take(1, {}, "append", store._layout())
+
+
+def test_a_store_opens_on_its_folder(spark, tmp_path):
+    store_of(spark, tmp_path, [row(i, "r/c/cell_1/w", at=i) for i in range(3)])
+    again = C.SmallFileStore(spark, f"file://{tmp_path}/store", C.KEY, ["recording", "channel", "cell_idx"], 99)
+    assert again.buckets == 4 and again.read().count() == 6
+    again.compact(["n_bytes", "weights"])
+    assert again.read().count() == 2 and again.read(1).count() == 6
+    assert len(again.vacuum(keep_versions=1)) == 1 and again.read().count() == 2
+
+
+def test_a_repeated_key_is_consolidated_whatever_the_sizes(spark, tmp_path):
+    path = "/x/rec_1_p0/560_nm/cell_1/w.npy"
+    store = store_of(spark, tmp_path, [row(1, path, size=100 << 20), row(2, path, at=1, size=100 << 20)])
+    store.compact(["n_bytes", "weights"], max_small_files=10**6, small_bytes=1)
+    assert [(r["component"], r["n_files"]) for r in store.read().orderBy("component").collect()] == [(0, 2), (1, 2)]
 
 
 def test_large_and_single_files_are_consolidated_too(spark):
