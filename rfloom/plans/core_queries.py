@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rfloom.functions.arrays import rounded, sql_rounded
@@ -45,9 +45,9 @@ def p1_components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Grid steps without a usable reading, between a source's first and last."""
-    spans = regular_grid.intervals(table(spark, folder, "sta_readings"), *READING)
-    return regular_grid.uncovered(spans, SOURCE)
+    """Grid steps without a usable reading, between a source's first and last: the filled steps of the regular grid."""
+    grid = regular_grid.regular_grid(table(spark, folder, "sta_readings"), *READING)
+    return grid.where("status = 'filled'").select(*SOURCE, "slot")
 
 
 def p2_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,6 +56,27 @@ def p2_grid(spark: SparkSession, folder: str) -> DataFrame:
     return grid.withColumns({c: rounded(F.col(c)) for c in ("grid_time", "value", "increment")})
 
 
+def p2_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of missing grid steps of each source, however long."""
+    return regular_grid.gaps(regular_grid.intervals(table(spark, folder, "sta_readings"), *READING), SOURCE)
+
+
+def counters(readings: DataFrame) -> DataFrame:
+    """Cumulative counters of the readings: the running sum of their magnitudes in thousandths, which a device sets back to zero after every tenth reading."""
+    usable = regular_grid.usable_readings(readings, *READING)
+    once = usable.groupBy(*SOURCE, "t").agg(F.max("v").alias("v"), F.max("step").alias("dt_ms"))
+    order = Window.partitionBy(*SOURCE).orderBy("t")
+    numbered = once.withColumn("life", F.floor((F.row_number().over(order) - 1) / 10))
+    grown = F.sum(F.round(F.abs("v") * 1000).cast("bigint")).over(Window.partitionBy(*SOURCE, "life").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return numbered.select(*SOURCE, F.col("t").alias("time_max"), "dt_ms", grown.cast("double").alias("sta_single_pixel"))
+
+
+def p2_counter(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters with resets on the regular grid: the increment of every step."""
+    grid = regular_grid.regular_grid(counters(table(spark, folder, "sta_readings")), *READING, counter=True)
+    return grid.select(*SOURCE, "slot", rounded(F.col("increment"), 3).alias("increment"), rounded(F.col("value"), 3).alias("value"), "status")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Changes of each export against the previous one of its recording."""
     return schema_drift.changes(table(spark, folder, "noise_exports"))
@@ -73,7 +94,7 @@ def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("recording", "export_file", "cell_index", "valid", *COLUMNS, "rescued", "unread").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_components, p2_found, p2_grid, p4_found, p4_table, p4_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_components, p2_found, p2_grid, p2_gaps, p2_counter, p4_found, p4_table, p4_records)}
 
 _COMPONENTS = r"""
 named AS (
@@ -94,6 +115,28 @@ usable AS (
   WHERE isfinite(time_max) AND isfinite(sta_single_pixel) GROUP BY ALL)"""
 
 
+def _grid(usable: str, counter: bool = False) -> str:
+    """The regular grid of ``usable`` or of the counters made from it."""
+    change, level = ("CASE WHEN v < v0 THEN v ELSE v - v0 END", "CASE WHEN v < v0 THEN 0 ELSE v0 END") if counter else ("v - v0", "v0")
+    digits, time = (3, "") if counter else (6, f"{sql_rounded('max(grid_time)')} AS grid_time, ")
+    return f"""WITH {_USABLE},
+counted AS (
+  SELECT recording, channel, cell_index, step, t, slot, CAST(sum(CAST(round(abs(v) * 1000) AS BIGINT)) OVER (PARTITION BY recording, channel, cell_index, life ORDER BY t) AS DOUBLE) AS v
+  FROM (SELECT *, (row_number() OVER (PARTITION BY recording, channel, cell_index ORDER BY t) - 1) // 10 AS life FROM usable)),
+spans AS (
+  SELECT *, lag(t) OVER w AS t0, lag(v) OVER w AS v0, lag(slot) OVER w AS slot0 FROM {usable} WINDOW w AS (PARTITION BY recording, channel, cell_index ORDER BY t)),
+cells AS (SELECT *, {change} AS change, {level} AS low, unnest(range(coalesce(slot0, slot), slot + 1)) AS cell FROM spans),
+parts AS (
+  SELECT recording, channel, cell_index, cell, cell * step AS grid_time,
+    coalesce(change * greatest(least(t, cell * step + step / 2) - greatest(t0, cell * step - step / 2), 0.0) / nullif(t - t0, 0), 0.0) AS share,
+    CASE WHEN cell = slot THEN v END AS own, CASE WHEN cell = slot THEN abs(t - cell * step) END AS far, t,
+    CASE WHEN cell > slot0 AND cell < slot THEN low + change * (cell * step - t0) / (t - t0) END AS level
+  FROM cells)
+SELECT recording, channel, cell_index, cell AS slot, {time}{sql_rounded('coalesce(arg_min(own, (far, t)) FILTER (own IS NOT NULL), max(level))', digits)} AS value,
+  {sql_rounded('sum(share)', digits)} AS increment, CASE WHEN count(own) = 0 THEN 'filled' ELSE 'observed' END AS status
+FROM parts GROUP BY recording, channel, cell_index, cell"""
+
+
 def _names(column: str) -> str:
     return ", ".join(f"""CASE WHEN json_type(j, '$."{n}"') IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'VARCHAR') THEN TRY_CAST(json_extract_string(j, '$."{n}"') AS DOUBLE) END""" for n in APPROVED[column][1])
 
@@ -127,18 +170,11 @@ FROM pieces GROUP BY recording, channel, cell_idx, component""",
     "p2_found": f"""WITH {_USABLE}, slots AS (SELECT DISTINCT recording, channel, cell_index, slot FROM usable),
 ends AS (SELECT *, lead(slot) OVER (PARTITION BY recording, channel, cell_index ORDER BY slot) AS next FROM slots)
 SELECT recording, channel, cell_index, unnest(range(slot + 1, next)) AS slot FROM ends WHERE next > slot + 1""",
-    "p2_grid": f"""WITH {_USABLE}, spans AS (
-  SELECT *, lag(t) OVER w AS t0, lag(v) OVER w AS v0, lag(slot) OVER w AS slot0 FROM usable WINDOW w AS (PARTITION BY recording, channel, cell_index ORDER BY t)),
-cells AS (SELECT *, unnest(range(coalesce(slot0, slot), slot + 1)) AS cell FROM spans),
-parts AS (
-  SELECT recording, channel, cell_index, cell, cell * step AS grid_time,
-    coalesce((v - v0) * greatest(least(t, cell * step + step / 2) - greatest(t0, cell * step - step / 2), 0.0) / nullif(t - t0, 0), 0.0) AS share,
-    CASE WHEN cell = slot THEN v END AS own, CASE WHEN cell = slot THEN abs(t - cell * step) END AS far, t,
-    CASE WHEN cell > slot0 AND cell < slot THEN v0 + (v - v0) * (cell * step - t0) / (t - t0) END AS level
-  FROM cells)
-SELECT recording, channel, cell_index, cell AS slot, {sql_rounded('max(grid_time)')} AS grid_time, {sql_rounded('coalesce(arg_min(own, (far, t)) FILTER (own IS NOT NULL), max(level))')} AS value,
-  {sql_rounded('sum(share)')} AS increment, CASE WHEN count(own) = 0 THEN 'filled' ELSE 'observed' END AS status
-FROM parts GROUP BY recording, channel, cell_index, cell""",
+    "p2_grid": _grid("usable"),
+    "p2_gaps": f"""WITH {_USABLE}, slots AS (SELECT DISTINCT recording, channel, cell_index, slot FROM usable),
+ends AS (SELECT *, lead(slot) OVER (PARTITION BY recording, channel, cell_index ORDER BY slot) AS next FROM slots)
+SELECT recording, channel, cell_index, slot + 1 AS first_slot, next - 1 AS last_slot, next - slot - 1 AS steps FROM ends WHERE next > slot + 1""",
+    "p2_counter": _grid("counted", counter=True),
     "p4_found": """WITH recs AS (
   SELECT DISTINCT recording, export_file, CAST(record_json AS JSON) AS j FROM noise_exports WHERE json_valid(record_json) AND json_type(record_json) = 'OBJECT'),
 f AS (

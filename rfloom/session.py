@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+#: The folder that holds the package: Python workers find it there wherever the driver was started.
+_ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     builder = (
@@ -16,6 +22,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(filter(None, (_ROOT, os.environ.get("PYTHONPATH")))))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

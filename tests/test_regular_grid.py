@@ -67,6 +67,27 @@ def test_counter_resets(spark):
     assert grid[1]["value"] == 110.0 and grid[3]["value"] == 3.0
 
 
+def rows_of(df):
+    return sorted((r["cell_index"], r["slot"], r["grid_time"], round(r["value"], 9), round(r["increment"], 9), r["status"]) for r in df.collect())
+
+
+def test_chunked_crowded_and_whole_grids_agree(spark):
+    rng = random.Random(5)
+    rows = readings(spark, [(rng.randrange(2), rng.choice([rng.uniform(-900, 900), rng.uniform(3000, 3100), 40.0]), 10.0, rng.random()) for _ in range(300)])
+    for counter in (False, True):
+        whole = rows_of(R.regular_grid(rows, *ARGS, counter=counter))
+        assert whole == rows_of(R.regular_grid(rows, *ARGS, counter=counter, chunk=7))
+        assert whole == rows_of(R.regular_grid(rows, *ARGS, counter=counter, chunk=50, crowded=20))
+        assert sum(r[5] == "filled" for r in whole) == R.uncovered(R.intervals(rows, *ARGS), KEYS).count()
+
+
+def test_a_broken_clock_is_reported_and_not_expanded(spark):
+    rows = readings(spark, [(1, 0.0, 10.0, 1.0), (1, 30.0, 10.0, 4.0), (1, 1e15, 10.0, 5.0), (1, 1e300, 10.0, 5.0), (2, 0.0, 10.0, 1.0), (2, 20.0, 10.0, 1.0)])
+    assert [r[:2] for r in rows_of(R.regular_grid(rows, *ARGS))] == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 10**14), (2, 0), (2, 1), (2, 2)]
+    found = {(r["cell_index"], r["first_slot"], r["last_slot"], r["steps"]) for r in R.gaps(R.intervals(rows, *ARGS), KEYS).collect()}
+    assert found == {(1, 1, 2, 2), (1, 4, 10**14 - 1, 10**14 - 4), (2, 1, 1, 1)}
+
+
 def test_ties_and_clashing_columns(spark):
     rows = readings(spark, [(1, 0.0, 10.0, 1.0), (1, 0.0, 10.0, 5.0), (1, 30.0, 10.0, 2.0)]).withColumn("slot", F.lit(7)).withColumn("v", F.lit("x")).withColumn("chunk", F.lit(1)).withColumn("prev", F.lit(1))
     grid = {r["slot"]: r["value"] for r in R.regular_grid(rows, *ARGS).collect()}
