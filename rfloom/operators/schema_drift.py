@@ -43,8 +43,8 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def ingest(records: DataFrame, target: dict[str, tuple[str, str]] = TARGET) -> DataFrame:
-    """FILE columns, cell_index, valid, one typed column per target field, ``rescued`` (JSON), ``rescued_kinds`` (name -> kind as written; the JSON text of 120.0 is 120), ``unread`` (the text of a record that isn't valid)."""
+def _read(records: DataFrame, target: dict[str, tuple[str, str]]) -> DataFrame:
+    """FILE columns, cell_index, valid, one typed column per target field, rest (map of what isn't typed), unread. Each record is parsed once."""
     parsed = records.select(*FILE, F.try_parse_json("record_json").alias("record"), F.col("record_json").alias("unread"))
     valid = F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
     parsed = parsed.withColumn("valid", valid).withColumn("record", F.when(F.col("valid"), F.col("record"))).withColumn("unread", F.when(~F.col("valid"), F.col("unread")))
@@ -53,54 +53,116 @@ def ingest(records: DataFrame, target: dict[str, tuple[str, str]] = TARGET) -> D
     rows = parsed.withColumns(typed)
     kept = F.array(F.lit("cell_index"), *[F.when(F.col(name).isNotNull(), name) for name in target])
     rest = F.map_filter(F.col("record").cast("map<string,variant>"), lambda name, _: ~F.coalesce(F.array_contains(kept, name), F.lit(False)))
+    return rows.select(*FILE, "cell_index", "valid", *target, rest.alias("rest"), "unread")
+
+
+def ingest(records: DataFrame, target: dict[str, tuple[str, str]] = TARGET) -> DataFrame:
+    """FILE columns, cell_index, valid, one typed column per target field, ``rescued`` (JSON), ``rescued_kinds`` (name -> kind as written; the JSON text of 120.0 is 120), ``unread`` (the text of a record that isn't valid)."""
     kinds = F.transform_values("rest", lambda _, v: kind_of(v))
-    return rows.withColumn("rest", rest).select(*FILE, "cell_index", "valid", *target, F.to_json("rest").alias("rescued"), kinds.alias("rescued_kinds"), "unread")
+    return _read(records, target).select(*FILE, "cell_index", "valid", *target, F.to_json("rest").alias("rescued"), kinds.alias("rescued_kinds"), "unread")
 
 
-def fields(ingested: DataFrame, target: dict[str, tuple[str, str]] = TARGET) -> DataFrame:
+def fields(records: DataFrame, target: dict[str, tuple[str, str]] = TARGET) -> DataFrame:
     """One row per (record, field), typed and rescued alike: FILE, cell_index, name, kind, value (comparable text)."""
-    rescued = ingested.where("valid").select(*FILE, "cell_index", "rescued_kinds", F.explode(F.parse_json("rescued").cast("map<string,variant>")).alias("name", "v"))
-    rescued = rescued.withColumn("kind", F.try_element_at("rescued_kinds", F.col("name")))
+    none, no_text = F.lit(None).cast("variant"), F.lit(None).cast("string")
+    typed = [F.struct(F.lit(n).alias("name"), none.alias("v"), F.lit(kind).alias("typed_kind"), F.concat(F.lit("s" if kind == "string" else "n"), F.col(n).cast("string")).alias("typed_value")) for n, (kind, _) in target.items()]
+    rescued = F.transform(F.map_entries("rest"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("v"), no_text.alias("typed_kind"), no_text.alias("typed_value")))
+    typed_here = F.filter(F.array(*typed), lambda f: f["typed_value"].isNotNull())
+    rows = _read(records, target).where("valid").select(*FILE, "cell_index", F.inline(F.concat(typed_here, rescued)))
+    rows = rows.withColumn("kind", F.coalesce("typed_kind", kind_of(F.col("v"))))
     number, text = F.try_variant_get("v", "$", "double").cast("string"), F.try_variant_get("v", "$", "string")
-    rescued = rescued.select(*FILE, "cell_index", "name", "kind", F.when(F.col("kind").isin("integer", "float"), F.concat(F.lit("n"), number)).when(F.col("kind") == "string", F.concat(F.lit("s"), text)).when(F.col("kind").isNotNull(), F.concat(F.lit("j"), F.to_json("v"))).alias("value"))
-    columns = [F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.concat(F.lit("s" if kind == "string" else "n"), F.col(name).cast("string")).alias("value")) for name, (kind, _) in target.items()]
-    typed = ingested.where("valid").select(*FILE, "cell_index", F.inline(F.array(*columns))).where("value is not null")
-    return typed.unionByName(rescued)
+    value = F.when(F.col("kind").isin("integer", "float"), F.concat(F.lit("n"), number)).when(F.col("kind") == "string", F.concat(F.lit("s"), text)).when(F.col("kind").isNotNull(), F.concat(F.lit("j"), F.to_json("v")))
+    return rows.select(*FILE, "cell_index", "name", "kind", F.coalesce("typed_value", value).alias("value"))
+
+
+_KINDS = ("string", "integer", "float", "object", "array", "boolean")
 
 
-def _kinds(rows: DataFrame) -> DataFrame:
-    seen = rows.groupBy(*FILE, "name").agg(*[F.coalesce(F.bool_or(F.col("kind") == k), F.lit(False)).alias(k) for k in ("string", "integer", "float", "object", "array", "boolean")])
-    count = sum((F.col(k).cast("int") for k in ("string", "object", "array", "boolean")), (F.col("integer") | F.col("float")).cast("int"))
-    kind = F.when(count > 1, "mixed").when(F.col("float"), "float")
+def _kind(seen: Column) -> Column:
+    """The type of a field from the kinds of its values (an array of them)."""
+    has = {k: F.array_contains(seen, k) for k in _KINDS}
+    count = sum((has[k].cast("int") for k in ("string", "object", "array", "boolean")), (has["integer"] | has["float"]).cast("int"))
+    kind = F.when(count > 1, "mixed").when(has["float"], "float")
     for k in ("string", "integer", "object", "array", "boolean"):
-        kind = kind.when(F.col(k), k)
-    return seen.select(*FILE, "name", kind.alias("kind"))
+        kind = kind.when(has[k], k)
+    return kind
+
+
+def _compared(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """recording, before, after, name, state ('gone', 'come', 'retyped' or 'kept') of every field of every step: one aggregate."""
+    named = rows.groupBy("recording", "export_file", "name").agg(_kind(F.collect_set("kind")).alias("kind"))
+    sides = [steps.select("recording", F.col(side).alias("export_file"), "before", "after", F.lit(side).alias("side")) for side in ("before", "after")]
+    both = named.join(sides[0].unionByName(sides[1]), ["recording", "export_file"])
+    found = both.groupBy("recording", "before", "after", "name").agg(
+        *[F.coalesce(F.bool_or(F.col("side") == side), F.lit(False)).alias(f"in_{side}") for side in ("before", "after")],
+        *[F.max(F.when(F.col("side") == side, F.col("kind"))).alias(f"kind_{side}") for side in ("before", "after")],
+    )
+    state = F.when(~F.col("in_after"), "gone").when(~F.col("in_before"), "come").when(F.col("kind_before") != F.col("kind_after"), "retyped").otherwise("kept")
+    return found.select("recording", "before", "after", "name", state.alias("state"))
+
+
+def _renamed(rows: DataFrame, compared: DataFrame) -> DataFrame:
+    """recording, before, after, field_before, field_after: gone and new names with equal values in more than half of the cells; of several the likest.
+
+    The values of one cell on both sides of a step meet in one row: as many as it has gone and new fields.
+    """
+    moved = compared.where("state in ('gone', 'come')").withColumn("export_file", F.when(F.col("state") == "gone", F.col("before")).otherwise(F.col("after")))
+    values = rows.where("value is not null and cell_index is not null").select("recording", "export_file", "name", "cell_index", "value")
+    met = values.join(moved, ["recording", "export_file", "name"]).groupBy("recording", "before", "after", "cell_index").agg(F.collect_set(F.struct("state", "name", "value")).alias("all"))
+    of = lambda state: F.filter("all", lambda f: f["state"] == state)
+    crossed = met.select("recording", "before", "after", "cell_index", of("gone").alias("gone"), of("come").alias("come")).where((F.size("gone") > 0) & (F.size("come") > 0))
+    crossed = crossed.select("recording", "before", "after", "cell_index", F.explode("gone").alias("g"), "come").select("recording", "before", "after", "cell_index", "g", F.explode("come").alias("c"))
+    cells = crossed.groupBy("recording", "before", "after", "cell_index", F.col("g.name").alias("field_before"), F.col("c.name").alias("field_after")).agg(F.bool_or(F.col("g.value") == F.col("c.value")).alias("same"))
+    step = ["recording", "before", "after"]
+    best = cells.groupBy(*step, "field_before", "field_after").agg(F.count("*").alias("cells"), F.count_if("same").alias("equal")).where("2 * equal > cells").withColumn("share", F.col("equal") / F.col("cells"))
+    for one, other in (("field_before", "field_after"), ("field_after", "field_before")):
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*step, one).orderBy(F.desc("share"), F.desc("equal"), other))).where("rank = 1").drop("rank")
+    return best.select(*step, "field_before", "field_after")
 
 
 def changes(records: DataFrame, target: dict[str, tuple[str, str]] = TARGET) -> DataFrame:
-    """export_file, change_kind, field_before, field_after of every change against the previous file."""
-    rows = written(fields(ingest(records, target), target), "fields")  # parsed once, read by every comparison below
+    """recording, export_file, change_kind, field_before, field_after of every change against the previous file."""
+    rows = written(fields(records, target), "fields")
     files = records.groupBy("recording", "export_file").agg(F.min("exported_at").alias("exported_at"))
     order = Window.partitionBy("recording").orderBy("exported_at", "export_file")
     steps = files.select("recording", F.col("export_file").alias("after"), F.lag("export_file").over(order).alias("before")).where("before is not null")
-    kinds = _kinds(rows).drop("exported_at")
-    new = steps.join(kinds.withColumnRenamed("export_file", "after"), ["recording", "after"]).select("recording", "after", "before", "name", F.col("kind").alias("kind_after"), F.lit(True).alias("in_after"))
-    old = steps.join(kinds.withColumnRenamed("export_file", "before"), ["recording", "before"]).select("recording", "after", "before", "name", F.col("kind").alias("kind_before"), F.lit(True).alias("in_before"))
-    both = old.join(new, ["recording", "after", "before", "name"], "full")
-    gone, come, kept = both.where("in_after is null"), both.where("in_before is null"), both.where("in_after and in_before")
-    retyped = kept.where("kind_before <> kind_after").select("after", F.lit("retyped").alias("change_kind"), F.col("name").alias("field_before"), F.col("name").alias("field_after"))
-    # pairs of gone and new names of one step, compared cell by cell
-    values = rows.where("value is not null and cell_index is not null").groupBy("recording", "export_file", "name", "cell_index").agg(F.collect_set("value").alias("values"))
-    was = gone.select("recording", "after", "before", F.col("name").alias("field_before")).join(values.select("recording", F.col("export_file").alias("before"), F.col("name").alias("field_before"), "cell_index", F.col("values").alias("old_values")), ["recording", "before", "field_before"])
-    now = come.select("recording", "after", F.col("name").alias("field_after")).join(values.select("recording", F.col("export_file").alias("after"), F.col("name").alias("field_after"), "cell_index", F.col("values").alias("new_values")), ["recording", "after", "field_after"])
-    pairs = was.join(now, ["recording", "after", "cell_index"]).groupBy("recording", "after", "field_before", "field_after").agg(F.count("*").alias("cells"), F.count_if(F.arrays_overlap("old_values", "new_values")).alias("equal"))
-    best = pairs.where("2 * equal > cells").withColumn("share", F.col("equal") / F.col("cells"))
-    for one, other in (("field_before", "field_after"), ("field_after", "field_before")):
-        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("recording", "after", one).orderBy(F.desc("share"), F.desc("equal"), other))).where("rank = 1").drop("rank")
-    renamed = best.select("after", F.lit("renamed").alias("change_kind"), "field_before", "field_after")
-    removed = gone.select("after", F.col("name").alias("field_before")).join(renamed, ["after", "field_before"], "left_anti").select("after", F.lit("removed").alias("change_kind"), "field_before", F.lit("").alias("field_after"))
-    added = come.select("after", F.col("name").alias("field_after")).join(renamed, ["after", "field_after"], "left_anti").select("after", F.lit("added").alias("change_kind"), F.lit("").alias("field_before"), "field_after")
-    return retyped.unionByName(renamed).unionByName(removed).unionByName(added).withColumnRenamed("after", "export_file")
+    compared = written(_compared(rows, steps).where("state <> 'kept'"), "compared")
+    renamed = written(_renamed(rows, compared), "renamed")
+    # a gone and a new name that were found to be one field are one change
+    taken = renamed.select("recording", "after", F.explode(F.array(F.struct(F.lit("gone").alias("state"), F.col("field_before").alias("name")), F.struct(F.lit("come").alias("state"), F.col("field_after").alias("name")))).alias("t")).select("recording", "after", "t.state", "t.name")
+    alone = compared.join(taken, ["recording", "after", "state", "name"], "left_anti")
+    kind = F.when(F.col("state") == "gone", "removed").when(F.col("state") == "come", "added").otherwise("retyped")
+    others = alone.select("recording", F.col("after").alias("export_file"), kind.alias("change_kind"), F.when(F.col("state") != "come", F.col("name")).otherwise("").alias("field_before"), F.when(F.col("state") != "gone", F.col("name")).otherwise("").alias("field_after"))
+    return others.unionByName(renamed.select("recording", F.col("after").alias("export_file"), F.lit("renamed").alias("change_kind"), "field_before", "field_after"))
+
+
+def aliases(changed: DataFrame, columns: list[str], most_names: int = 10_000) -> dict[str, list[str]]:
+    """Names that each of ``columns`` goes by: itself, then what the ``renamed`` rows of ``changes`` lead to and from, over all files, in order of name.
+
+    Names linked with several columns are approved for none of them but stay
+    rescued. Only distinct pairs of names reach the driver; there are as many
+    as a schema has fields, and more than ``most_names`` is an error.
+    """
+    pairs = changed.where("change_kind = 'renamed'").select("field_before", "field_after").distinct().limit(most_names + 1).collect()
+    if len(pairs) > most_names:
+        raise ValueError(f"more than {most_names} renamings: these are no field names")
+    near: dict[str, set[str]] = {}
+    for before, after in pairs:
+        near.setdefault(before, set()).add(after)
+        near.setdefault(after, set()).add(before)
+    reached: dict[str, set[str]] = {}
+    for column in columns:
+        seen, waiting = {column}, [column]
+        while waiting:
+            new = near.get(waiting.pop(), set()) - seen
+            seen |= new
+            waiting += new
+        reached[column] = seen
+    owners: dict[str, int] = {}
+    for seen in reached.values():
+        for name in seen:
+            owners[name] = owners.get(name, 0) + 1
+    return {column: [column, *sorted(name for name in seen - {column} if owners[name] == 1)] for column, seen in reached.items()}
 
 
 def _scalar(value: Column, sql: str) -> Column:

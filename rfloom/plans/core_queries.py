@@ -11,17 +11,13 @@ from rfloom.tables import table
 
 SOURCE = ["recording", "channel", "cell_index"]
 READING = (SOURCE, "time_max", "sta_single_pixel", "dt_ms")
-#: Approved columns and the names they go by in exports.
-APPROVED = {
+#: All columns of the exports' table with their types; whole numbers stay whole. The names are the ones that ``p4_records`` takes
+#: as approved by hand; ``p4_table`` takes them from the report of changes.
+COLUMNS = {
+    "channel": ("string", ["channel", "channel_name", "chan", "Channel", "stim_channel", "led"]),
     "time_max": ("double", ["time_max", "Time_Max", "t_max", "peak_ms", "time_max_ms", "timeMax"]),
     "radius": ("double", ["radius", "Radius", "rad", "r_um", "radius_um", "rf_extent"]),
     "quality": ("double", ["quality", "qual", "score", "rf_quality"]),
-}
-
-#: All columns of the exports' table, with the names they go by; whole numbers stay whole.
-COLUMNS = {
-    "channel": ("string", ["channel", "channel_name", "chan", "Channel", "stim_channel", "led"]),
-    **APPROVED,
     "angle": ("double", ["angle"]),
     "center_shift": ("double", ["center_shift"]),
     "tilt": ("double", ["tilt", "Tilt", "axis_ratio"]),
@@ -79,13 +75,15 @@ def p2_counter(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Changes of each export against the previous one of its recording."""
-    return schema_drift.changes(table(spark, folder, "noise_exports"))
+    return schema_drift.changes(table(spark, folder, "noise_exports")).drop("recording")
 
 
 def p4_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All exports as one table: rescued values replayed into the approved columns."""
-    rows = schema_drift.promote(schema_drift.ingest(table(spark, folder, "noise_exports")), APPROVED)
-    return rows.where("valid").select("recording", "export_file", "cell_index", *APPROVED).distinct()
+    """All exports as one table: every typed column, filled by the names that the report of changes shows it to go by, the rest as JSON, and the text of records that can't be read."""
+    exports = table(spark, folder, "noise_exports")
+    names = schema_drift.aliases(schema_drift.changes(exports), list(COLUMNS))
+    rows = schema_drift.promote(schema_drift.ingest(exports), {column: (kind, names[column]) for column, (kind, _) in COLUMNS.items()})
+    return rows.select("recording", "export_file", "cell_index", "valid", *COLUMNS, "rescued", "unread").distinct()
 
 
 def p4_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,10 +135,6 @@ SELECT recording, channel, cell_index, cell AS slot, {time}{sql_rounded('coalesc
 FROM parts GROUP BY recording, channel, cell_index, cell"""
 
 
-def _names(column: str) -> str:
-    return ", ".join(f"""CASE WHEN json_type(j, '$."{n}"') IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'VARCHAR') THEN TRY_CAST(json_extract_string(j, '$."{n}"') AS DOUBLE) END""" for n in APPROVED[column][1])
-
-
 _SQL_TYPES = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT"}
 
 
@@ -202,8 +196,6 @@ SELECT file AS export_file, 'renamed' AS change_kind, old AS field_before, new A
 UNION ALL SELECT file, 'removed', name, '' FROM gone g WHERE NOT EXISTS (FROM renamed r WHERE r.file = g.file AND r.old = g.name)
 UNION ALL SELECT file, 'added', '', name FROM come c WHERE NOT EXISTS (FROM renamed r WHERE r.file = c.file AND r.new = c.name)
 UNION ALL SELECT n.file, 'retyped', n.name, n.name FROM now n JOIN was w ON n.file = w.file AND n.name = w.name WHERE n.kind <> w.kind""",
-    "p4_table": f"""SELECT DISTINCT recording, export_file, CAST(json_extract_string(j, '$.cell_index') AS BIGINT) AS cell_index, {', '.join(f'coalesce({_names(c)}) AS {c}' for c in APPROVED)}
-FROM (SELECT recording, export_file, CAST(record_json AS JSON) AS j FROM noise_exports WHERE json_valid(record_json) AND json_type(record_json) = 'OBJECT')""",
     "p4_records": f"""WITH recs AS (
   SELECT recording, export_file, record_json, valid, CASE WHEN valid THEN CAST(record_json AS JSON) END AS j
   FROM (SELECT *, coalesce(CASE WHEN json_valid(record_json) THEN json_type(record_json) = 'OBJECT' END, false) AS valid FROM noise_exports)),
@@ -213,3 +205,22 @@ SELECT DISTINCT recording, export_file, CAST(json_extract_string(j, '$.cell_inde
   CASE WHEN NOT valid THEN record_json END AS unread
 FROM named""",
 }
+
+_PICK = "CAST(max(text) FILTER (col = '{c}') AS {t}) AS {c}"
+_CASTABLE = """kind IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'VARCHAR', 'BOOLEAN') AND CASE type WHEN 'BIGINT' THEN TRY_CAST(text AS BIGINT) IS NOT NULL AND TRY_CAST(text AS DOUBLE) = TRY_CAST(text AS BIGINT)
+  WHEN 'DOUBLE' THEN TRY_CAST(text AS DOUBLE) IS NOT NULL ELSE text IS NOT NULL END"""
+SQL["p4_table"] = f"""WITH RECURSIVE changed AS ({SQL["p4_found"]}),
+edges AS (SELECT field_before AS a, field_after AS b FROM changed WHERE change_kind = 'renamed' UNION SELECT field_after, field_before FROM changed WHERE change_kind = 'renamed'),
+types AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{_SQL_TYPES[kind]}')" for c, (kind, _) in COLUMNS.items())}) AS t(col, type)),
+reach(col, name) AS (SELECT col, col FROM types UNION SELECT r.col, e.b FROM reach r JOIN edges e ON e.a = r.name),
+alias AS (SELECT col, type, name, name <> col AS later FROM reach JOIN types USING (col) WHERE name = col OR name IN (SELECT name FROM reach GROUP BY name HAVING count(DISTINCT col) = 1)),
+recs AS (
+  SELECT row_number() OVER () AS id, *, CASE WHEN valid THEN CAST(record_json AS JSON) END AS j
+  FROM (SELECT DISTINCT recording, export_file, record_json, coalesce(CASE WHEN json_valid(record_json) THEN json_type(record_json) = 'OBJECT' END, false) AS valid FROM noise_exports)),
+vals AS (SELECT id, name, json_type(j, '$."' || name || '"') AS kind, json_extract_string(j, '$."' || name || '"') AS text FROM (SELECT id, j, unnest(json_keys(j)) AS name FROM recs WHERE valid)),
+best AS (SELECT id, col, arg_min(name, (later, name)) AS name, arg_min(text, (later, name)) AS text FROM vals JOIN alias USING (name) WHERE {_CASTABLE} GROUP BY id, col),
+wide AS (SELECT id, {', '.join(_PICK.format(c=c, t=_SQL_TYPES[kind]) for c, (kind, _) in COLUMNS.items())}, list(name) AS used FROM best GROUP BY id)
+SELECT DISTINCT recording, export_file, CAST(json_extract_string(j, '$.cell_index') AS BIGINT) AS cell_index, valid, {', '.join(COLUMNS)},
+  CASE WHEN valid THEN '{{' || array_to_string(list_transform(list_sort(list_filter(json_keys(j), lambda k: k <> 'cell_index' AND NOT coalesce(list_contains(used, k), false))), lambda k: '"' || k || '":' || {_TEXT.format(v="json_extract(j, '$.\"' || k || '\"')")}), ',') || '}}' END AS rescued,
+  CASE WHEN NOT valid THEN record_json END AS unread
+FROM recs LEFT JOIN wide USING (id)"""

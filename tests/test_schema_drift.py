@@ -87,3 +87,26 @@ def test_the_table_keeps_channels_unknown_fields_and_cut_off_records(spark, tmp_
     assert (got[1]["channel"], got[1]["mask_px"], got[1]["tilt"]) == ("365", 12, 0.5) and json.loads(got[1]["rescued"]) == {"fresh": [1]}
     assert got[2]["channel"] == "red" and json.loads(got[2]["rescued"]) == {"channel": {"nm": 365}}
     assert [r["unread"] for r in rows if not r["valid"] and r["unread"]] == ['{"cell_index": 3, "rad'] and len(rows) == 4
+
+
+def test_names_follow_the_report_over_several_files(spark):
+    value = lambda i: i + 0.5
+    steps = [("a", "radius"), ("b", "rad"), ("c", "r_um"), ("d", "radius")]
+    changed = S.changes(exports(spark, [(file, [{"cell_index": i, name: value(i), "note": f"{file}{i}"} for i in range(5)]) for file, name in steps]))
+    assert S.aliases(changed, ["radius", "note"]) == {"radius": ["radius", "r_um", "rad"], "note": ["note"]}
+
+
+def test_a_name_that_leads_to_two_columns_is_approved_for_neither(spark):
+    changed = spark.createDataFrame([("r", "f", "renamed", "x", "a"), ("r", "g", "renamed", "b", "x"), ("r", "g", "added", "", "q")], "recording string, export_file string, change_kind string, field_before string, field_after string")
+    assert S.aliases(changed, ["a", "b", "q"]) == {"a": ["a"], "b": ["b"], "q": ["q"]}
+    assert S.aliases(changed.limit(0), ["a"]) == {"a": ["a"]}
+
+
+def test_the_consolidated_table_learns_new_names(spark, tmp_path):
+    first = [{"cell_index": i, "time_max": i + 0.25, "channel": "red"} for i in range(4)]
+    second = [{"cell_index": i, "brand_new": i + 0.25, "channel": "red", "extra": {"k": i}} for i in range(4)]
+    exports(spark, [("a", first), ("b", [*second, '{"cell_index": 9, "tim'])]).write.parquet(f"{tmp_path}/noise_exports.parquet")
+    rows = queries.p4_table(spark, str(tmp_path)).collect()
+    assert len(rows) == 9 and {(r["cell_index"], r["time_max"], r["channel"]) for r in rows if r["valid"]} == {(i, i + 0.25, "red") for i in range(4)}
+    assert {r["rescued"] for r in rows if r["valid"]} == {"{}", *(f'{{"extra":{{"k":{i}}}}}' for i in range(4))}
+    assert [r["unread"] for r in rows if not r["valid"]] == ['{"cell_index": 9, "tim']
