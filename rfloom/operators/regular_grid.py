@@ -246,7 +246,9 @@ def regular_grid(readings: DataFrame, keys: list[str], time: str, value: str, st
     filled step after a reset counts from zero.
     """
     series, once, links = _parts(readings, keys, time, value, step, chunk, crowded)
-    cells = _on_cells(series.join(links.select("key", "chunk", "prev", "next"), ["key", "chunk"]), counter)
+    # both sides take the same columns from the shuffled readings, so that Spark shuffles them once and uses that twice
+    joined = series.join(links.select("key", "chunk", "prev", "next", F.col("step").alias("same_step")), ["key", "chunk"])
+    cells = _on_cells(joined.withColumn("step", F.coalesce("step", "same_step")), counter)
     if once is not None:
         cells = cells.unionByName(_crowded_cells(once, links, counter))
     # between chunks: whole cells of one interval, all uncovered
