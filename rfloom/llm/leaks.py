@@ -3,17 +3,23 @@
 Both sides are cut into words. Fixed masks over ``SPAN`` words ignore some
 positions; the words at the others are hashed. A run of SPAN equal words is hit
 under every mask, and one with substituted words under each mask that ignores
-them. Hits are joined on the hash, brought to (message, item, shift), and
-around each shift the words are compared one by one: the overlap is tolerant
-to substitutions, the longest exact run is counted beside it.
-
-The test side is compared as a sorted array inside the Arrow batches only while
-it has at most ``BROADCAST_SEEDS`` hashes (8 bytes each); beyond that every
-window goes through a shuffle join. Whole messages are read, never prefixes.
+them: single words anywhere, and pairs 2, 3, 4, 5, 6 or 7 apart at the masks'
+places (so also a text with every sixth word replaced). Hits are joined on the hash,
+brought to (message, item, shift), and around each shift the words of both
+sides are compared, as 64-bit hashes: the overlap is tolerant to
+substitutions, the longest exact run is counted beside it.
+
+The join is a broadcast one: the test side goes to the messages in blocks of
+at most ``BROADCAST_SEEDS`` hashes (an item longer than that is a block of its
+own). One block is the usual case, and the corpus is read once. With more, the
+messages' word hashes are written once (8 bytes a word) and read once per
+block; no window or message is ever shuffled, so no frequent phrase can make a
+hot key. Whole messages are read, never prefixes.
 
 Defined results: null or empty messages and items match nothing; items shorter
 than SPAN words have no seed and can't be found; repeated messages or items
-count once (by id); a message that shows a passage several times is one row.
+count once (items by id; different texts with one doc_id are each compared); a
+message that shows a passage several times is one row per shift.
 """
 
 from __future__ import annotations
@@ -32,10 +38,13 @@ from rfloom.tables import written
 
 SPAN = 12
 #: 1: the word counts; 0: it is ignored.
-MASKS = ("111011011111", "110111101011", "101110110111")
+MASKS = ("111011011111", "110111101011", "101110110111", "110111110111")
 BROADCAST_SEEDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Pairs of positions, and compared words, that are held at a time.
+_ROOM = 4_000_000
+_RESULT = "doc_id bigint, item_id bigint, shift int, exact_run int, overlap int, equal_words int, item_words int"
 
 
 def words_of(text: str) -> list[str]:
@@ -65,101 +74,160 @@ def seeds(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return value
 
 
-def _windows(texts: list[list[str]], hasher: _Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(mask, seed hashes, their word positions in all texts joined) without windows across texts."""
+def hashed_texts(texts: list[list[str]], hasher: _Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts joined, words of each text)."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    flat = np.fromiter((hasher[w] for t in texts for w in t), np.uint64, int(sizes.sum()))
+    return np.fromiter((hasher[w] for t in texts for w in t), np.uint64, int(sizes.sum())), sizes
+
+
+def _windows(flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(seed hashes, their word positions in all texts joined) per mask, without windows across texts."""
     ends = np.repeat(np.cumsum(sizes), sizes)
     inside = np.nonzero(np.arange(len(flat)) + SPAN <= ends)[0]
     for k, mask in enumerate(MASKS):
         found = seeds(flat, mask, k)
-        yield k, found[inside], inside
-
-
-def item_words(items: DataFrame) -> DataFrame:
-    """item_id, words; one row per item."""
+        yield found[inside] if len(found) else found, inside
+
+
+class Wanted:
+    """One block of the test side: its items' words and all of their seeds, sorted."""
+
+    def __init__(self, ids: list[int], words: list[np.ndarray]):
+        self.ids = np.array(ids, np.int64)
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.words = np.concatenate([*words, np.empty(0, np.uint64)])
+        parts = list(_windows(self.words, self.sizes))
+        seed, at = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(seed, kind="stable")
+        self.seed, at = seed[order], at[order]
+        self.item = np.repeat(np.arange(len(ids)), self.sizes)[at]
+        self.at = at - self.first[self.item]
+        # most windows of a corpus aren't wanted: a table of the hashes' last bits tells so at once
+        self.bits = np.uint64((1 << min(24, max(10, 3 + len(seed).bit_length()))) - 1)
+        self.maybe = np.zeros(int(self.bits) + 1, bool)
+        self.maybe[(self.seed & self.bits).astype(np.int64)] = True
+
+    def hits(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, shift) with a common seed, as rows."""
+        if not len(self.seed):
+            return np.empty((0, 3), np.int64)
+        owner, start = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        found = []
+        for values, at in _windows(flat, sizes):
+            some = np.nonzero(self.maybe[(values & self.bits).astype(np.int64)])[0]
+            low = np.searchsorted(self.seed, values[some], "left")
+            many = np.searchsorted(self.seed, values[some], "right") - low
+            for a, b in _cuts(many):
+                n = many[a:b]
+                place = np.repeat(at[some[a:b]], n)
+                which = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                text = owner[place]
+                found.append(np.unique(np.stack([text, self.item[which], place - start[text] - self.at[which]], 1), axis=0))
+        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+
+    def compared(self, flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, item, shift, exact run, overlap, equal words) of the hits of these texts."""
+        found, start = self.hits(flat, sizes), np.cumsum(sizes) - sizes
+        text, item, shift = found.T
+        low = np.maximum(0, -shift)
+        length = np.minimum(self.sizes[item], sizes[text] - shift) - low
+        for a, b in _cuts(length + 1):
+            t, i, s, n = text[a:b], item[a:b], shift[a:b], length[a:b]
+            of = np.repeat(np.arange(b - a), n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[a:b][of]
+            same = flat[start[t][of] + place + s[of]] == self.words[self.first[i][of] + place]
+            yield t, i, s, *stretches(same, n)
+
+
+def _cuts(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of neighbours with about _ROOM together, at least one each."""
+    ends = np.nonzero(np.diff(np.cumsum(sizes) // _ROOM))[0] + 1
+    edges = [0, *ends.tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+
+
+def stretches(same: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(longest run, words, equal words) of the best stretch of each comparison: +1 for an equal word, -2 for another."""
+    # one place before each comparison, where its sums begin
+    first = np.cumsum(lengths + 1) - (lengths + 1)
+    change, equal = np.zeros(len(same) + len(lengths), np.int64), np.zeros(len(same) + len(lengths), np.int64)
+    inside = np.ones(len(change), bool)
+    inside[first] = False
+    change[inside], equal[inside] = np.where(same, 1, -2), same
+    places, which = np.arange(len(change)), np.repeat(np.arange(len(lengths)), lengths + 1)
+    # each comparison lies far below the one before it, so a running minimum starts anew
+    total = np.cumsum(change)
+    level = total - total[first][which] - which * (3 * len(change) + 1)
+    lowest = np.minimum.accumulate(level)
+    since = np.maximum.accumulate(np.where(level == lowest, places, 0))
+    gain = level - lowest
+    best = np.maximum.reduceat(gain, first)
+    at_best = np.nonzero(gain == best[which])[0]
+    end = at_best[np.nonzero(np.diff(which[at_best], prepend=-1))[0]]
+    counted = np.cumsum(equal)
+    run = places - np.maximum.accumulate(np.where(equal == 0, places, 0))
+    return np.maximum.reduceat(run, first), end - since[end], counted[end] - counted[since[end]]
+
+
+def item_hashes(items: DataFrame) -> DataFrame:
+    """item_id, words (hashes), n_seeds; one row per item."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
         for batch in batches:
-            words = [words_of(t or "") for t in batch["item_text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["item_id"], pa.array(words, pa.list_(pa.string()))], ["item_id", "words"])
+            words = [np.array([hasher[w] for w in words_of(t or "")], np.uint64).view(np.int64) for t in batch["item_text"].to_pylist()]
+            seeded = [len(MASKS) * max(0, len(w) - SPAN + 1) for w in words]
+            yield pa.RecordBatch.from_arrays([batch["item_id"], pa.array(words, pa.list_(pa.int64())), pa.array(seeded, pa.int64())], ["item_id", "words", "n_seeds"])
 
     once = items.where("item_id is not null").groupBy("item_id").agg(F.max("item_text").alias("item_text"))
-    return once.mapInArrow(cut, "item_id bigint, words array<string>")
+    return once.mapInArrow(cut, "item_id bigint, words array<bigint>, n_seeds bigint").where("n_seeds > 0")
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    """seed, item_id, item_at of every window and mask of ``item_words``."""
+def message_hashes(documents: DataFrame) -> DataFrame:
+    """doc_id, words (hashes) of every message."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for batch in batches:
-            texts, ids = batch["words"].to_pylist(), np.array(batch["item_id"].to_pylist(), np.int64)
-            sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            owner, start = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
-            for _, found, at in _windows(texts, hasher):
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids[owner[at]]), pa.array((at - start[at]).astype(np.int32))], ["seed", "item_id", "item_at"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                flat, sizes = hashed_texts([words_of("\n".join(read_message(t)[1])) for t in part["text"].to_pylist()], hasher)
+                words = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], words], ["doc_id", "words"])
 
-    return items.mapInArrow(cut, "seed bigint, item_id bigint, item_at int")
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(cut, "doc_id bigint, words array<bigint>")
 
 
-def message_hits(documents: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """doc_id, words, hits(seed, at) of messages with a wanted seed (all seeds if wanted is None)."""
-    schema = "doc_id bigint, words array<string>, hits array<struct<seed:bigint,at:int>>"
-    hit_type = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())]))
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)
+def _compared(messages: DataFrame, wanted: Wanted) -> DataFrame:
+    """The overlaps of messages (doc_id, words) with one block of items."""
+    shared = messages.sparkSession.sparkContext.broadcast(wanted)
+    names = [field.split()[0] for field in _RESULT.split(", ")]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = _Hasher(), shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [words_of("\n".join(read_message(t)[1])) for t in part["text"].to_pylist()]
-                sizes = np.array([len(t) for t in texts], dtype=np.int64)
-                owner, first = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
-                found: dict[int, list[dict[str, int]]] = {}
-                for _, values, at in _windows(texts, hasher):
-                    keep = np.arange(len(values))
-                    if known is not None and len(known):
-                        near = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                        keep = np.nonzero(known[near] == values)[0]
-                    elif known is not None:
-                        continue
-                    for value, place in zip(values[keep].view(np.int64).tolist(), at[keep].tolist()):
-                        doc = int(owner[place])
-                        found.setdefault(doc, []).append({"seed": value, "at": place - int(first[doc])})
-                rows = sorted(found)
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].take(pa.array(rows, pa.int64())), pa.array([texts[i] for i in rows], pa.list_(pa.string())), pa.array([found[i] for i in rows], hit_type)],
-                    ["doc_id", "words", "hits"],
-                )
-
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(cut, schema)
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of message and item at one shift, compared over their whole overlap."""
-    for batch in batches:
-        rows = []
-        for doc, item, shift, words, wanted in zip(*(batch[c].to_pylist() for c in ("doc_id", "item_id", "shift", "words", "item_words"))):
-            low, high = max(0, -shift), min(len(wanted), len(words) - shift)
-            run = best = equal = start = end = 0
-            score = top = 0
-            begin = low
-            for i in range(low, high):
-                same = words[i + shift] == wanted[i]
-                run = run + 1 if same else 0
-                best = max(best, run)
-                score += 1 if same else -2
-                if score <= 0:
-                    score, begin = 0, i + 1
-                elif score > top:
-                    top, start, end = score, begin, i + 1
-            equal = sum(words[i + shift] == wanted[i] for i in range(start, end))
-            rows.append((doc, item, shift, best, end - start, equal, len(wanted)))
-        names = ["doc_id", "item_id", "shift", "exact_run", "overlap", "equal_words", "item_words"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                lists = pa.concat_arrays([part["words"]])
+                sizes, flat = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy().view(np.uint64)
+                for text, item, *counts in block.compared(flat, sizes):
+                    columns = [part["doc_id"].take(pa.array(text)), pa.array(block.ids[item]), *[pa.array(c.astype(np.int32)) for c in (*counts, block.sizes[item])]]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return messages.mapInArrow(run, _RESULT)
+
+
+def _blocks(items: DataFrame, most: int) -> DataFrame:
+    """items with ``block``: each has at most ``most`` seeds or a single item."""
+    total = items.agg(F.sum("n_seeds")).first()[0] or 0
+    count = max(1, -(-total // max(most, 1)))
+    while True:
+        blocked = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(count)))
+        full = blocked.groupBy("block").agg(F.sum("n_seeds").alias("seeds"), F.count("*").alias("n")).where((F.col("seeds") > most) & (F.col("n") > 1))
+        if count == 1 and total <= most or not full.take(1):
+            return blocked
+        count *= 2
 
 
 def overlaps(documents: DataFrame, items: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -168,17 +236,19 @@ def overlaps(documents: DataFrame, items: DataFrame, broadcast_seeds: int = BROA
     ``overlap`` is the best stretch with at most one substitution per two equal
     words (+1 for an equal word, -2 for a substituted one).
     """
-    wanted_words = written(item_words(items), "items")
-    seeded = written(item_seeds(wanted_words), "seeds")
-    distinct = seeded.select("seed").distinct()
-    wanted = None
-    if distinct.count() <= broadcast_seeds:
-        wanted = np.sort(np.array([r[0] for r in distinct.toLocalIterator()], np.int64).view(np.uint64))
-    hits = written(message_hits(documents, wanted), "hits")
-    found = hits.select("doc_id", F.inline("hits")).join(seeded, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    texts = hits.select("doc_id", "words").groupBy("doc_id").agg(F.max("words").alias("words"))
-    pairs = found.join(texts, "doc_id").join(wanted_words.withColumnRenamed("words", "item_words"), "item_id")
-    return pairs.mapInArrow(_verify, "doc_id bigint, item_id bigint, shift int, exact_run int, overlap int, equal_words int, item_words int")
+    blocked = _blocks(written(item_hashes(items), "items"), broadcast_seeds)
+    numbers = sorted(r["block"] for r in blocked.select("block").distinct().toLocalIterator())
+    messages = message_hashes(documents)
+    if len(numbers) > 1:
+        messages = written(messages, "words")
+    found = None
+    for number in numbers or [0]:
+        rows = [(r["item_id"], np.array(r["words"], np.int64).view(np.uint64)) for r in blocked.where(F.col("block") == number).toLocalIterator()]
+        part = _compared(messages, Wanted([r[0] for r in rows], [r[1] for r in rows]))
+        if len(numbers) > 1:
+            part = written(part, "overlaps")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
 
 
 def leaks(documents: DataFrame, items: DataFrame, least_run: int = SPAN) -> DataFrame:

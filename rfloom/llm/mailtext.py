@@ -5,7 +5,7 @@ functions.  Everything that needs grouping, joining or counting happens in
 Spark on what this yields.
 
 Defined results: null or empty text gives no parts; a multipart without a
-usable boundary is read as one plain body; undecodable base64 is skipped; text
+usable boundary is read as one plain body; parts are read at any depth; undecodable base64 is skipped; text
 in a wrong character set is read as UTF-8, else as declared, else as latin-1.
 """
 
@@ -26,7 +26,6 @@ _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
 _UU = re.compile(r"^begin [0-7]{3,4} [^\n]*\n(.*?)^end[ \t]*$", re.M | re.S)
 #: Characters without width that may stand inside a word.
 _INVISIBLE = re.compile("[­​‌‍⁠﻿]")
-_MAX_DEPTH = 8
 
 
 def _headers(block: str) -> dict[str, str]:
@@ -98,32 +97,35 @@ def _uudecoded(block: re.Match) -> str:
     return f"\n{text}\n" if text.isprintable() or not re.search("[\x00-\x08\x0e-\x1f]", text) else "\n"
 
 
-def _parts(message: str, depth: int, outer: str = "text/plain"):
-    headers, body = _split(message)
-    kind = headers.get("content-type", outer).strip()
-    lower = kind.lower()
-    if lower.startswith("multipart/") and depth < _MAX_DEPTH:
-        if found := _BOUNDARY.search(kind):
-            mark = "--" + (found[1] or found[2])
-            pieces = ("\n" + body).split("\n" + mark)
-            if len(pieces) > 1:
-                for piece in pieces[1:]:
-                    if piece.startswith("--"):
-                        break
-                    yield from _parts(piece.lstrip(" \t")[1:], depth + 1)
-                return
-        lower = "text/plain"
-    if lower.startswith("message/") and depth < _MAX_DEPTH:
-        yield from _parts(_decoded(headers, body).lstrip("\n"), depth + 1)
-        return
-    if not lower.startswith("text/"):
-        return
-    text = _decoded(headers, body)
-    if lower.startswith("text/html"):
-        text = strip_markup(text)
-    elif "begin " in text:
-        text = _UU.sub(_uudecoded, text)
-    yield text
+def _inner(kind: str, headers: dict[str, str], body: str) -> list[str] | None:
+    """The messages or parts inside a multipart or forwarded message; None for a leaf."""
+    if kind.lower().startswith("message/"):
+        return [_decoded(headers, body).lstrip("\n")]
+    if kind.lower().startswith("multipart/") and (found := _BOUNDARY.search(kind)):
+        pieces = ("\n" + body).split("\n" + "--" + (found[1] or found[2]))
+        if len(pieces) > 1:
+            end = next((i for i, piece in enumerate(pieces) if i and piece.startswith("--")), len(pieces))
+            return [piece.lstrip(" \t")[1:] for piece in pieces[1:end]]
+    return None
+
+
+def _parts(message: str):
+    """Texts of all text parts in order, however deep they lie: a stack, so depth is only bounded by the message itself."""
+    waiting = [message]
+    while waiting:
+        headers, body = _split(waiting.pop())
+        kind = headers.get("content-type", "text/plain").strip()
+        lower = kind.lower()
+        inside = _inner(kind, headers, body)
+        if inside is not None:
+            waiting += reversed(inside)
+        elif lower.startswith(("text/", "multipart/")):
+            text = _decoded(headers, body)
+            if lower.startswith("text/html"):
+                text = strip_markup(text)
+            elif "begin " in text:
+                text = _UU.sub(_uudecoded, text)
+            yield text
 
 
 def subject_of(headers: dict[str, str]) -> str:
@@ -144,4 +146,4 @@ def read_message(raw: str | None) -> tuple[str, list[str]]:
     headers, _ = _split(message)
     if not headers:
         return "", [message]
-    return subject_of(headers), [_INVISIBLE.sub("", text) for text in _parts(message, 0)]
+    return subject_of(headers), [_INVISIBLE.sub("", text) for text in _parts(message)]

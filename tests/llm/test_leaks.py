@@ -86,3 +86,49 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
 def test_very_long_message(spark):
     text = " ".join(random.Random(1).choices(WORDS, k=200_000)) + " " + ITEM
     assert found(spark, [(1, mail(text))], [(10, ITEM)]) == [(1, 10)]
+
+
+def plain_stretch(words, wanted, shift):
+    """The definition, word by word."""
+    low, high = max(0, -shift), min(len(wanted), len(words) - shift)
+    run = best = score = top = start = end = 0
+    begin = low
+    for i in range(low, high):
+        same = words[i + shift] == wanted[i]
+        run = run + 1 if same else 0
+        best = max(best, run)
+        score += 1 if same else -2
+        if score <= 0:
+            score, begin = 0, i + 1
+        elif score > top:
+            top, start, end = score, begin, i + 1
+    return best, end - start, sum(words[i + shift] == wanted[i] for i in range(start, end))
+
+
+def test_stretches_of_many_comparisons_at_once():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(0, 40, 200)
+    same = [rng.random(n) < rng.choice([0.0, 0.5, 0.8, 1.0]) for n in lengths]
+    got = np.stack(L.stretches(np.concatenate(same), lengths), 1).tolist()
+    assert got == [list(plain_stretch([int(x) for x in s], [1] * len(s), 0)) for s in same]
+
+
+def test_a_passage_below_fifty_forwards(spark):
+    text = mail(ITEM)
+    for i in range(50):
+        text = mail(f"--b{i}\nContent-Type: message/rfc822\n\n{text}\n--b{i}--\n", f'Content-Type: multipart/mixed; boundary="b{i}"\n')
+    assert found(spark, [(1, text)], [(10, ITEM)]) == [(1, 10)]
+
+
+def test_every_sixth_word_replaced(spark):
+    changed = [w if i % 6 != 3 else "zzz" for i, w in enumerate(WORDS[:60])]
+    rows = L.overlaps(*tables(spark, [(1, mail(" ".join(changed)))], [(2, " ".join(WORDS[:60]))])).collect()
+    assert [(r["shift"], r["overlap"], r["equal_words"], r["exact_run"]) for r in rows] == [(0, 57, 48, 5)]  # the last two words gain no more than the substitution before them costs
+
+
+def test_two_texts_with_one_id_and_a_repeated_phrase(spark):
+    words, phrase = ITEM.split(), " ".join(["again and"] * 400)
+    docs = [(1, mail(" ".join(words[:14]))), (1, mail("before " + " ".join(words[1:])))]
+    assert found(spark, docs, [(10, ITEM)]) == [(1, 10)]
+    assert L.overlaps(*tables(spark, docs, [(10, ITEM)])).count() == 2
+    assert found(spark, [(2, mail(phrase))], [(11, " ".join(["and again"] * 30))]) == [(2, 11)]
