@@ -2,12 +2,14 @@
 
 A word is the average of the embeddings of its character n-grams (hashed), a
 sentence the average of its words and word pairs, and a linear softmax sits on
-top; embeddings and softmax are trained jointly in numpy on the driver, on at
-most ``max_labelled`` messages per class of the labelled ones. Labels belong to
-whole messages, so a positive message trains through its most suspicious
-sentence, a negative one through all of its sentences; a bounded loss keeps
-wrong labels from dominating. Unseen misspellings share n-grams with known
-words.
+top; embeddings and softmax are trained jointly in numpy, on at most
+``max_labelled`` messages per class of the labelled ones and half as many
+harmless ones that look harmful (``hard_negatives``). Labels belong to whole
+messages, so a positive message trains through its most suspicious sentence, a
+negative one through all of its sentences; a bounded loss keeps wrong labels
+from dominating. Unseen misspellings share n-grams with known words. Models of
+held-out folds, one Spark task each, tell which labels are wrong; all labelled
+messages together tell where the threshold lies.
 
 For two classes the model is linear in the buckets, so it is sent to the
 executors as one number per bucket (``BUCKETS`` floats, whatever the corpus).
@@ -29,10 +31,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rfloom.llm.mailtext import read_message
+from rfloom.tables import written
 
 BUCKETS = 1 << 17
 #: Parts of the labelled messages that are held out in turn.
@@ -267,78 +270,164 @@ def _shares(target: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.where(inside, 0.5 / np.maximum(counts, 1)[target], 0.0)
 
 
-def _held_out(bags: Bags, target: np.ndarray, folds: np.ndarray, trusted: np.ndarray) -> np.ndarray:
-    """Logit of each message by a model trained on the trusted messages of the other folds."""
-    held = np.zeros(len(target))
-    for fold in np.unique(folds):
-        inside = (folds != fold) & trusted
-        if len(np.unique(target[inside])) == 2:
-            best = bags.train(target, _shares(target, inside))[2]
-            held[folds == fold] = best[folds == fold]
-    return held
+def _folded(spark: SparkSession, bags: Bags, target: np.ndarray, folds: np.ndarray, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(logit of each message by a model trained on the trusted messages of the other folds, mean weights, mean bias); one Spark task per fold."""
+    shared = spark.sparkContext.broadcast((bags, target, folds, trusted))
 
-
-def train_cleaned(messages: list[list[list[str]]], target: np.ndarray, folds: np.ndarray) -> Model:
-    """Drops labels that held-out models contradict, trains on the rest, and places the threshold by held-out scores again."""
-    bags, every = Bags(messages), np.ones(len(target), bool)
-    held = _held_out(bags, target, folds, every)
-    clean = (held >= _threshold(held, target)) == (target == 1)
-    if len(np.unique(target[clean])) < 2:
-        clean = every
-    held = _held_out(bags, target, folds, clean)
-    weights, bias, _ = bags.train(target, _shares(target, clean))
-    return Model(weights, bias, max(0.0, _threshold(held[clean], target[clean])))  # never below even odds: unknown words weigh nothing
-
-
-def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Where held-out labelled messages separate best (F1); between the neighbouring scores."""
-    order = np.argsort(-scores)
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(1, labels.sum()))
-    k = int(np.argmax(f1))
-    low = scores[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float((scores[order[k]] + low) / 2)
-
-
-def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``max_labelled`` messages of each class, chosen by a hash of doc_id."""
-    votes = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.avg("toxic").alias("share")).where("share <> 0.5")
-    known = votes.select("doc_id", (F.col("share") > 0.5).cast("int").alias("label"))
-    chosen = None
-    for label in (0, 1):
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold in batch["id"].to_pylist():
+                bags, target, folds, trusted = shared.value
+                inside = (folds != fold) & trusted
+                if len(np.unique(target[inside])) == 2:
+                    weights, bias, best = bags.train(target, _shares(target, inside))
+                    yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int64()), pa.array([best.astype(float)], pa.list_(pa.float64())), pa.array([weights.tobytes()]), pa.array([bias])], ["fold", "best", "weights", "bias"])
+
+    held, models = np.zeros(len(target)), []
+    for row in spark.range(0, FOLDS, 1, FOLDS).mapInArrow(run, "fold bigint, best array<double>, weights binary, bias double").collect():
+        own = folds == row["fold"]
+        held[own] = np.array(row["best"])[own]
+        models.append((np.frombuffer(row["weights"], np.float32), row["bias"]))
+    shared.destroy()
+    if not models:
+        return held, np.zeros(BUCKETS, np.float32), 0.0
+    return held, np.mean([m[0] for m in models], axis=0), float(np.mean([m[1] for m in models]))
+
+
+def _threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None, beta: float = 0.5) -> float:
+    """Where labelled messages separate best, a wrong alarm counting more than a miss (F with ``beta``); between the neighbouring scores."""
+    counts = np.ones(len(scores)) if counts is None else counts
+    order = np.argsort(-scores, kind="stable")
+    scores, labels, counts = scores[order], labels[order], counts[order]
+    last = np.append(np.nonzero(np.diff(scores))[0], len(scores) - 1)  # equal scores stay together
+    hits, taken = np.cumsum(labels * counts)[last], np.cumsum(counts)[last]
+    worth = (1 + beta**2) * hits / (taken + beta**2 * max(1, (labels * counts).sum()))
+    k = int(np.argmax(worth))
+    low = scores[last[k + 1]] if k + 1 < len(last) else 0.0
+    return float((scores[last[k]] + low) / 2)
+
+
+def votes(labels: DataFrame) -> DataFrame:
+    """doc_id, label of the messages that more labels call one thing than the other."""
+    share = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.avg("toxic").alias("share")).where("share <> 0.5")
+    return share.select("doc_id", (F.col("share") > 0.5).cast("int").alias("label"))
+
+
+def _first(known: DataFrame, label: int, most: int) -> DataFrame:
+    """At most ``most`` messages of a class, in the order of a hash of doc_id."""
+    return known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def labelled_sample(documents: DataFrame, known: DataFrame, max_labelled: int) -> list[tuple[int, str, int]]:
+    """(doc_id, text, label) of at most ``max_labelled`` messages of each class."""
+    chosen = _first(known, 0, max_labelled).unionByName(_first(known, 1, max_labelled))
     texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = {r["doc_id"]: (r["text"], r["label"]) for r in texts.toLocalIterator()}
+    rows = {r["doc_id"]: (r["doc_id"], r["text"], r["label"]) for r in texts.toLocalIterator()}
     return [rows[k] for k in sorted(rows)]
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 800) -> Model | None:
-    """The model of the bounded sample; None without both classes."""
-    sample = labelled_sample(documents, labels, max_labelled)
-    target = np.array([y for _, y in sample], dtype=np.int64)
-    if not len(target) or target.min() == target.max():
-        return None
-    folds = np.array([zlib.crc32(t.encode()) % FOLDS for t, _ in sample])
-    return train_cleaned([sentences(t) or [["0"]] for t, _ in sample], target, folds)
-
-
-def score(documents: DataFrame, labels: DataFrame, max_labelled: int = 800) -> DataFrame:
-    """doc_id, source, score, flagged of every message."""
-    model = fit(documents, labels, max_labelled)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def _logits(documents: DataFrame, model: Model | None, keep: str = "source string") -> DataFrame:
+    """doc_id, another column, logit of every row: the largest of its sentences; -inf without words or model."""
+    shared, name = documents.sparkSession.sparkContext.broadcast(model), keep.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
             texts = batch["text"].to_pylist()
             logits = np.concatenate([scorer.messages(texts[i : i + 1024]) for i in range(0, len(texts), 1024)] or [[]]) if scorer else np.full(len(texts), -np.inf)
-            scores = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], pa.array(np.where(np.isinf(logits), 0.0, scores), pa.float64())], ["doc_id", "source", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch[name], pa.array(logits, pa.float64())], ["doc_id", name, "logit"])
+
+    columns = ["doc_id", "source", "text"] if name == "source" else ["doc_id", "text"]
+    return documents.where("doc_id is not null").select(*columns).mapInArrow(run, f"doc_id bigint, {keep}, logit double")
+
+
+def hard_negatives(documents: DataFrame, known: DataFrame, model: Model, taken: list[int], max_labelled: int) -> list[tuple[int, str, int]]:
+    """(doc_id, text, 0) of the ``max_labelled`` / 2 messages that are labelled harmless and score highest, of 20 x ``max_labelled`` labelled ones that aren't in the sample."""
+    spark = documents.sparkSession
+    others = known.join(F.broadcast(spark.createDataFrame([(i,) for i in taken], "doc_id bigint")), "doc_id", "left_anti")
+    pool = _first(others, 0, 20 * max_labelled).select("doc_id")
+    scored = _logits(documents.where("text is not null").select("doc_id", "text").join(F.broadcast(pool), "doc_id"), model, "text string")
+    rows = {r["doc_id"]: (r["doc_id"], r["text"], 0) for r in scored.orderBy(F.desc("logit"), "doc_id").limit(max_labelled // 2).collect()}
+    return [rows[k] for k in sorted(rows)]
+
+
+@dataclass
+class Trained:
+    model: Model
+    ids: np.ndarray  # of the messages it was trained on
+    held: np.ndarray  # their logits by models of other folds
+    target: np.ndarray
+
 
-    scored = documents.where("doc_id is not null").select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, score double")
-    once = scored.groupBy("doc_id").agg(F.max_by("source", "score").alias("source"), F.max("score").alias("score"))
-    return once.withColumn("flagged", F.col("score") >= F.lit(float(1 / (1 + np.exp(-model.threshold))) if model else 2.0))
+def _bags(rows: list[tuple[int, str, int]]) -> tuple[Bags, np.ndarray, np.ndarray]:
+    """(index arrays, labels, folds); equal texts share a fold."""
+    return Bags([sentences(t) or [["0"]] for _, t, _ in rows]), np.array([y for *_, y in rows], np.int64), np.array([zlib.crc32(t.encode()) % FOLDS for _, t, _ in rows])
+
+
+def train(documents: DataFrame, known: DataFrame, max_labelled: int = 800) -> Trained | None:
+    """The model of a bounded sample; None without both classes.
+
+    Positive labels that models of other folds contradict are dropped. What
+    these models flag among further messages labelled harmless joins the
+    sample, so that what is common to both classes isn't learnt as a sign. With
+    it all labels are judged again, and the model is trained on the rest.
+    """
+    spark, sample = documents.sparkSession, labelled_sample(documents, known, max_labelled)
+    if len({y for *_, y in sample}) < 2:
+        return None
+    bags, target, folds = _bags(sample)
+    held, weights, bias = _folded(spark, bags, target, folds, np.ones(len(target), bool))
+    right = (target == 0) | (held >= _threshold(held, target))
+    hard = hard_negatives(documents, known, Model(weights, bias, 0.0), [i for i, *_ in sample], max_labelled)
+    trusted = right if right[target == 1].any() else np.ones(len(target), bool)
+    if hard:
+        sample, trusted = sample + hard, np.append(trusted, np.ones(len(hard), bool))
+        bags, target, folds = _bags(sample)
+    held, _, _ = _folded(spark, bags, target, folds, trusted)
+    clean = (held >= _threshold(held, target)) == (target == 1)
+    if len(np.unique(target[clean])) < 2:
+        clean = trusted
+    weights, bias, _ = bags.train(target, _shares(target, clean))
+    return Trained(Model(weights, bias, 0.0), np.array([i for i, *_ in sample], np.int64), held, target)
+
+
+def _placed(trained: Trained, scored: DataFrame, known: DataFrame) -> float:
+    """The threshold, by the logits of all labelled messages, each by a model that hasn't seen it.
+
+    The many that weren't in the sample are counted in bins of 1/20, so what
+    reaches the driver doesn't grow. Never below even odds: unknown words weigh nothing.
+    """
+    spark = scored.sparkSession
+    seen = F.broadcast(spark.createDataFrame([(int(i),) for i in trained.ids], "doc_id bigint"))
+    unseen = scored.where("logit > -1000").join(known, "doc_id").join(seen, "doc_id", "left_anti")
+    bins = unseen.groupBy(F.round(F.greatest(F.least("logit", F.lit(60.0)), F.lit(-60.0)) * 20).alias("bin"), "label").agg(F.count("*").alias("n")).collect()
+    scores = np.append(trained.held, [r["bin"] / 20 for r in bins])
+    labels = np.append(trained.target, [r["label"] for r in bins]).astype(np.int64)
+    return max(0.0, _threshold(scores, labels, np.append(np.ones(len(trained.held)), [r["n"] for r in bins])))
+
+
+def _scored(documents: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[Model | None, DataFrame]:
+    """(the model with its threshold, doc_id, source, logit of every message)."""
+    known = written(votes(labels), "votes")
+    trained = train(documents, known, max_labelled)
+    model = trained.model if trained else None
+    once = _logits(documents, model).groupBy("doc_id").agg(F.max_by("source", "logit").alias("source"), F.max("logit").alias("logit"))
+    scored = written(once, "scored")
+    if model:
+        model.threshold = _placed(trained, scored, known)
+    return model, scored
+
+
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 800) -> Model | None:
+    """The model with its threshold; None without both classes."""
+    return _scored(documents, labels, max_labelled)[0]
+
+
+def score(documents: DataFrame, labels: DataFrame, max_labelled: int = 800) -> DataFrame:
+    """doc_id, source, score, flagged of every message."""
+    model, scored = _scored(documents, labels, max_labelled)
+    chance = F.when(F.col("logit") > -1000, 1 / (1 + F.exp(-F.col("logit")))).otherwise(F.lit(0.0))
+    return scored.select("doc_id", "source", chance.alias("score"), (F.lit(model is not None) & (F.col("logit") >= F.lit(model.threshold if model else 0.0))).alias("flagged"))
 
 
 def rates(scored: DataFrame) -> DataFrame:
