@@ -61,7 +61,7 @@ def slot_of(t: Column, step: Column) -> Column:
 def _chunked(readings: DataFrame, keys: list[str], time: str, value: str, step: str, chunk: int) -> DataFrame:
     """key (struct, so that null equals null in joins), chunk, step, t, v."""
     usable = usable_readings(readings, keys, time, value, step)
-    return usable.select(F.struct(*keys).alias("key"), F.floor(slot_of(F.col("t"), F.col("step")) / chunk).alias("chunk"), "step", "t", "v")
+    return usable.select(F.struct(*keys).alias("key"), F.floor(slot_of(F.col("t"), F.col("step")) / chunk).alias("chunk"), "step", "t", "v").where("chunk is not null")
 
 
 def _series(chunked: DataFrame) -> DataFrame:
