@@ -321,24 +321,28 @@ def _first(known: DataFrame, label: int, most: int) -> DataFrame:
 def labelled_sample(documents: DataFrame, known: DataFrame, max_labelled: int) -> list[tuple[int, str, int]]:
     """(doc_id, text, label) of at most ``max_labelled`` messages of each class."""
     chosen = _first(known, 0, max_labelled).unionByName(_first(known, 1, max_labelled))
+    return _texts(documents, chosen)
+
+
+def _texts(documents: DataFrame, chosen: DataFrame) -> list[tuple[int, str, int]]:
+    """(doc_id, text, label) of a bounded number of messages (doc_id, label)."""
     texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = {r["doc_id"]: (r["doc_id"], r["text"], r["label"]) for r in texts.toLocalIterator()}
     return [rows[k] for k in sorted(rows)]
 
 
-def _logits(documents: DataFrame, model: Model | None, keep: str = "source string") -> DataFrame:
-    """doc_id, another column, logit of every row: the largest of its sentences; -inf without words or model."""
-    shared, name = documents.sparkSession.sparkContext.broadcast(model), keep.split()[0]
+def _logits(documents: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, source, logit of every row: the largest of its sentences; -inf without words or model."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
             texts = batch["text"].to_pylist()
             logits = np.concatenate([scorer.messages(texts[i : i + 1024]) for i in range(0, len(texts), 1024)] or [[]]) if scorer else np.full(len(texts), -np.inf)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch[name], pa.array(logits, pa.float64())], ["doc_id", name, "logit"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], pa.array(logits, pa.float64())], ["doc_id", "source", "logit"])
 
-    columns = ["doc_id", "source", "text"] if name == "source" else ["doc_id", "text"]
-    return documents.where("doc_id is not null").select(*columns).mapInArrow(run, f"doc_id bigint, {keep}, logit double")
+    return documents.where("doc_id is not null").select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, logit double")
 
 
 def hard_negatives(documents: DataFrame, known: DataFrame, model: Model, taken: list[int], max_labelled: int) -> list[tuple[int, str, int]]:
@@ -346,9 +350,10 @@ def hard_negatives(documents: DataFrame, known: DataFrame, model: Model, taken:
     spark = documents.sparkSession
     others = known.join(F.broadcast(spark.createDataFrame([(i,) for i in taken], "doc_id bigint")), "doc_id", "left_anti")
     pool = _first(others, 0, 20 * max_labelled).select("doc_id")
-    scored = _logits(documents.where("text is not null").select("doc_id", "text").join(F.broadcast(pool), "doc_id"), model, "text string")
-    rows = {r["doc_id"]: (r["doc_id"], r["text"], 0) for r in scored.orderBy(F.desc("logit"), "doc_id").limit(max_labelled // 2).collect()}
-    return [rows[k] for k in sorted(rows)]
+    scored = _logits(documents.where("text is not null").join(F.broadcast(pool), "doc_id"), model).groupBy("doc_id").agg(F.max("logit").alias("logit"))
+    # written, so that the best of each task meet in a task and not on the driver; only then are the texts read
+    chosen = written(scored.orderBy(F.desc("logit"), "doc_id").limit(max_labelled // 2).select("doc_id"), "hard")
+    return _texts(documents, chosen.withColumn("label", F.lit(0)))
 
 
 @dataclass
