@@ -15,12 +15,18 @@ correlations stand side by side in one vector.
    Ward's criterion, as long as the centroids stay alike in all curves. Groups
    from overlapping regions are united by passing on the smallest leaf.
 4. One pass assigns every cell to its leaf's cluster and measures it against
-   the centroid. Cells near enough to it (half the angle) are alike for sure;
-   the others are compared with the members of their cluster one by one. What is
-   unlike a cell that stays leaves, and is clustered again with the single cells.
-
-Only pivots (a bounded number) reach the driver. No step forms all pairs of a
-cluster: copies are absorbed by the same leaf.
+   the centroid. Two cells whose angles to it add up to at most the angle of
+   ``alike`` are alike for sure. What is left is compared exactly, in blocks of
+   about ``_BLOCK`` cells: only blocks of which the widest cells could be
+   unlike meet, each pair of blocks is one matrix product in a group of its
+   own, and only unlike cells come out. A cell that is unlike one that stays
+   leaves, and is clustered again with the single cells, in rounds from table
+   to table.
+
+Only pivots (a bounded number) reach the driver. Clusters that lie close about
+their centroid, and copies, which one leaf absorbs, cost time in proportion to
+their cells; what an exact answer needs of a cluster as wide as ``alike``
+permits grows with the square of the cells beyond half that angle.
 
 Defined results: cells with a missing, all-hole or constant curve, or without a
 trace, are in no cluster; repeated rows (by outline_id, by trace key) count
@@ -38,23 +44,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rfloom.tables import written
+from rfloom.tables import scratch, written
 
 ANGLES, RADII, TIMES = 36, 32, 40
 _PARTS = np.cumsum([0, ANGLES, ANGLES, RADII, TIMES])
 WIDTH, CURVES = int(_PARTS[-1]), 4
 _STARTS = _PARTS[:-1]
-#: Cosine of half the angle whose cosine is ``alike``: two curves this near to a third are alike.
 ALIKE = 0.9
-_SURE = float(np.cos(np.arccos(ALIKE) / 2))
+#: Cells compared with each other in one task, and classes of their angles to the centroid.
+_BLOCK, _CLASSES = 256, 8
+#: Leaves that are agglomerated at a time.
+_WARD = 1500
 
 
-def curve(x: np.ndarray, y: list | None, points: np.ndarray, period: float | None = None) -> np.ndarray | None:
+def curve(x: np.ndarray, y: np.ndarray, points: np.ndarray, period: float | None = None) -> np.ndarray | None:
     """The curve on ``points``, centred, of length one; None if it has no shape."""
-    if y is None or len(x) != len(y):
-        return None
-    y = np.array([np.nan if v is None else v for v in y], float)
-    x = np.array([np.nan if v is None else v for v in x], float)
     ok = np.isfinite(y) & np.isfinite(x)
     if ok.sum() < 3:
         return None
@@ -65,6 +69,40 @@ def curve(x: np.ndarray, y: list | None, points: np.ndarray, period: float | Non
     return z / length if length > 1e-9 * max(1.0, np.abs(y[ok]).max()) else None
 
 
+def _lists(column: pa.Array) -> list[np.ndarray | None]:
+    """The rows of a list column as arrays (null entries as NaN); null rows as None."""
+    column = pa.concat_arrays([column])
+    flat, offsets = column.values.to_numpy(zero_copy_only=False).astype(float), column.offsets.to_numpy()
+    return [flat[a:b] if known else None for a, b, known in zip(offsets, offsets[1:], column.is_valid().to_numpy(zero_copy_only=False))]
+
+
+def curves_of(xs: list, ys: list, points: np.ndarray, period: float | None, weights: dict[tuple, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(curves on ``points``, which rows have one). Rows without holes that share their x are one matrix product; the others are read one by one."""
+    out, good = np.zeros((len(ys), len(points)), np.float32), np.zeros(len(ys), bool)
+    groups: dict[tuple, list[int]] = {}
+    for i, (x, y) in enumerate(zip(xs, ys)):
+        if x is None or y is None or len(x) != len(y) or len(y) < 3:
+            continue
+        if np.isfinite(y).all() and np.isfinite(x).all() and (np.diff(x) > 0).all():
+            groups.setdefault((x.tobytes(), period), []).append(i)
+        elif (own := curve(x, y, points, period)) is not None:
+            out[i], good[i] = own, True
+    for key, rows in groups.items():
+        if (kind := (key, len(points))) not in weights:
+            if len(weights) > 1000:
+                weights.clear()
+            x = xs[rows[0]]
+            weights[kind] = np.stack([np.interp(points, x, unit_row, period=period) for unit_row in np.eye(len(x))])
+        y = np.stack([ys[i] for i in rows])
+        z = y @ weights[kind]
+        z -= z.mean(1, keepdims=True)
+        length = np.linalg.norm(z, axis=1)
+        proper = length > 1e-9 * np.maximum(1.0, np.abs(y).max(1))
+        out[rows] = z / np.where(proper, length, 1.0)[:, None]
+        good[rows] = proper
+    return out, good
+
+
 def features(outlines: DataFrame, traces: DataFrame) -> DataFrame:
     """outline_id, vec of every cell with four proper curves."""
     key = ["recording", "channel", "cell_index"]
@@ -77,16 +115,15 @@ def features(outlines: DataFrame, traces: DataFrame) -> DataFrame:
     time = np.linspace(times["low"] or 0.0, times["high"] or 1.0, TIMES)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            ids, rows = [], []
-            for i, center, surround, in_out, r, t, v in zip(*(batch[c].to_pylist() for c in ("outline_id", "center", "surround", "in_out", "radius_um", "time_ms", "v"))):
-                turn = lambda y: np.arange(len(y)) * 360.0 / len(y) if y else np.empty(0)
-                curves = (curve(turn(center), center, angle, 360.0), curve(turn(surround), surround, angle, 360.0), curve(r or [], in_out, radius), curve(t or [], v, time))
-                if all(c is not None for c in curves):
-                    ids.append(i)
-                    rows.append(np.concatenate(curves))
-            flat = pa.array(np.concatenate(rows).astype(np.float32) if rows else np.empty(0, np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * WIDTH, pa.int32()), flat)], ["outline_id", "vec"])
+            rows, ok = np.zeros((batch.num_rows, WIDTH), np.float32), np.ones(batch.num_rows, bool)
+            values = {c: _lists(batch[c]) for c in ("center", "surround", "in_out", "radius_um", "time_ms", "v")}
+            turn = [None if y is None else np.arange(len(y)) * 360.0 / max(1, len(y)) for y in values["center"]], [None if y is None else np.arange(len(y)) * 360.0 / max(1, len(y)) for y in values["surround"]]
+            for k, (xs, ys, points, period) in enumerate(((turn[0], values["center"], angle, 360.0), (turn[1], values["surround"], angle, 360.0), (values["radius_um"], values["in_out"], radius, None), (values["time_ms"], values["v"], time, None))):
+                rows[:, _PARTS[k] : _PARTS[k + 1]], good = curves_of(xs, ys, points, period, weights)
+                ok &= good
+            yield pa.RecordBatch.from_arrays([batch["outline_id"].filter(pa.array(ok)), pa.ListArray.from_arrays(pa.array(np.arange(ok.sum() + 1) * WIDTH, pa.int32()), pa.array(rows[ok].ravel()))], ["outline_id", "vec"])
 
     joined = cells.join(paths, key).select("outline_id", "center", "surround", "in_out", "radius_um", "time_ms", "v")
     return joined.mapInArrow(read, "outline_id bigint, vec array<float>")
@@ -94,13 +131,23 @@ def features(outlines: DataFrame, traces: DataFrame) -> DataFrame:
 
 def unit(sums: np.ndarray) -> np.ndarray:
     """Rows scaled to length one in each curve."""
-    lengths = np.sqrt(np.add.reduceat(sums**2, _STARTS, axis=1))
+    lengths = np.sqrt(correlations(sums, sums))
     return sums / np.repeat(np.maximum(lengths, 1e-12), np.diff(_PARTS), axis=1)
 
 
+def unit_row(total: np.ndarray) -> np.ndarray:
+    """The same for one row."""
+    return total / np.repeat(np.maximum(np.sqrt(np.add.reduceat(total * total, _STARTS)), 1e-12), np.diff(_PARTS))
+
+
+def correlations(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The four correlations of rows of length one, row by row."""
+    return np.stack([np.einsum("ij,ij->i", rows[:, a:b], to[:, a:b]) for a, b in zip(_PARTS, _PARTS[1:])], axis=1)
+
+
 def alikeness(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
     """The smallest of the four correlations, row by row."""
-    return np.add.reduceat(rows * to, _STARTS, axis=1).min(axis=1)
+    return correlations(rows, to).min(axis=1)
 
 
 class _Node:
@@ -114,14 +161,18 @@ class _Node:
     def put(self, total: np.ndarray, count: int, number: int, child: _Node | None = None) -> None:
         i = self.used
         self.sums[i], self.counts[i], self.ids[i], self.used = total, count, number, i + 1
-        self.centres[i] = unit(total[None])[0]
+        self.centres[i] = unit_row(total)
         if child is not None:
             self.children.append(child)
 
     def grow(self, i: int, total: np.ndarray, count: int) -> None:
+        """Adds to an entry; the centre of a large one, which a single cell hardly moves, is brought up to date now and then."""
         self.sums[i] += total
+        before = int(self.counts[i])
         self.counts[i] += count
-        self.centres[i] = unit(self.sums[i : i + 1])[0]
+        step = before >> 4
+        if not step or (before + count) // step != before // step:
+            self.centres[i] = unit_row(self.sums[i])
 
 
 class FeatureTree:
@@ -132,7 +183,7 @@ class FeatureTree:
 
     def insert(self, total: np.ndarray, count: int = 1) -> int:
         """Adds a summary; returns the number of the leaf entry that took it."""
-        point, node, path = unit(total[None])[0], self.root, []
+        point, node, path = unit_row(total), self.root, []
         while True:
             i = int(np.argmax(node.centres[: node.used] @ point)) if node.used else -1
             if node.children is None:
@@ -140,7 +191,7 @@ class FeatureTree:
             node.grow(i, total, count)
             path.append((node, i))
             node = node.children[i]
-        if i >= 0 and alikeness(node.centres[i : i + 1], point[None])[0] >= self.tight:
+        if i >= 0 and np.add.reduceat(node.centres[i] * point, _STARTS).min() >= self.tight:
             node.grow(i, total, count)
             return int(node.ids[i])
         number = self.entries
@@ -187,6 +238,17 @@ class FeatureTree:
                 counts[node.ids[: node.used]], sums[node.ids[: node.used]] = node.counts[: node.used], node.sums[: node.used]
         return counts, sums
 
+    def order(self) -> np.ndarray:
+        """The entries' numbers from one end of the tree to the other: neighbours are alike."""
+        found, waiting = [], [self.root]
+        while waiting:
+            node = waiting.pop()
+            if node.children is not None:
+                waiting += node.children
+            else:
+                found.append(node.ids[: node.used])
+        return np.concatenate(found)
+
     def top(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(counts, sums) of the lowest level with at most ``most`` entries."""
         level = [self.root]
@@ -248,24 +310,29 @@ def pivots(roots: DataFrame, max_pivots: int) -> np.ndarray:
         rows = written(rows.repartition(max(1, count // (4 * max_pivots))).mapInArrow(reduce, _CF), "roots")
         if count <= 4 * max_pivots:
             break
-    found = [r["vec"] for r in rows.select("vec").limit(4 * max_pivots).toLocalIterator()]
-    return unit(np.array(found, float).reshape(len(found), WIDTH))
+    found = rows.select("vec").limit(4 * max_pivots).toArrow()["vec"].combine_chunks()
+    return unit(_matrix(found))
 
 
-def ward_groups(counts: np.ndarray, sums: np.ndarray, alike: float = ALIKE, tight: float = 0.95) -> np.ndarray:
-    """Group number of each leaf: a merged tree first, then Ward's criterion while centroids stay alike."""
-    tree = FeatureTree(tight)
-    entry = np.array([tree.insert(s, int(n)) for s, n in zip(sums, counts)])
-    n, total = tree.leaves()
-    n, total = list(n), list(total)
+def _near_pairs(centres: np.ndarray, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j with alike centres, by blocks of rows."""
+    for start in range(0, len(centres), 512):
+        block = centres[start : start + 512]
+        near = np.minimum.reduce([block[:, a:b] @ centres[:, a:b].T for a, b in zip(_PARTS, _PARTS[1:])])
+        i, j = np.nonzero(near >= alike)
+        later = j > i + start
+        yield i[later] + start, j[later]
+
+
+def _ward(counts: np.ndarray, sums: np.ndarray, alike: float) -> np.ndarray:
+    """Group of each entry by Ward's criterion, as long as the centroids stay alike."""
+    n, total = list(counts), list(sums)
     alive, parent = [True] * len(n), list(range(len(n)))
-    centres = unit(np.array(total))
-    near = np.minimum.reduce([centres[:, a:b] @ centres[:, a:b].T for a, b in zip(_PARTS, _PARTS[1:])])
 
     def cost(i: int, j: int) -> float:
         return n[i] * n[j] / (n[i] + n[j]) * float(((total[i] / n[i] - total[j] / n[j]) ** 2).sum())
 
-    heap = [(cost(i, j), int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(near >= alike, 1)))]
+    heap = [(cost(i, j), i, j) for rows, columns in _near_pairs(unit(sums), alike) for i, j in zip(rows.tolist(), columns.tolist())]
     heapify(heap)
     while heap:
         _, i, j = heappop(heap)
@@ -285,11 +352,39 @@ def ward_groups(counts: np.ndarray, sums: np.ndarray, alike: float = ALIKE, tigh
             for o in others[fits]:
                 heappush(heap, (cost(int(o), k), int(o), k))
     roots = []
-    for i in range(len(parent)):
+    for i in range(len(counts)):
         while parent[i] != i:
             i = parent[i]
         roots.append(i)
-    return np.array([roots[e] for e in entry], np.int64)
+    return np.unique(np.array(roots, np.int64), return_inverse=True)[1]
+
+
+def ward_groups(counts: np.ndarray, sums: np.ndarray, alike: float = ALIKE, tight: float = 0.95, most: int = _WARD) -> np.ndarray:
+    """Group number of each leaf: a merged tree first, then Ward's criterion while centroids stay alike.
+
+    More than ``most`` entries are merged by parts of that size, in the order
+    of the tree, and their groups, which are summaries again, until no part
+    merges any more; only then all that are left are compared.
+    """
+    tree = FeatureTree(tight)
+    group = np.array([tree.insert(s, int(n)) for s, n in zip(sums, counts)])
+    n, total = tree.leaves()
+    number = np.arange(len(n))
+    order = tree.order()
+    while len(n) > most:
+        parts = np.empty(len(n), np.int64)
+        done = 0
+        for start in range(0, len(order), most):
+            own = order[start : start + most]
+            found = _ward(n[own], total[own], alike)
+            parts[own] = found + done
+            done += int(found.max()) + 1
+        if done == len(n):
+            break
+        order = parts[order][np.sort(np.unique(parts[order], return_index=True)[1])]
+        number = parts[number]
+        n, total = np.bincount(parts, weights=n).astype(np.int64), np.stack([np.bincount(parts, weights=column, minlength=done) for column in total.T], axis=1)
+    return _ward(n, total, alike)[number][group]
 
 
 def _route(leaves: DataFrame, points: np.ndarray) -> DataFrame:
@@ -396,17 +491,50 @@ def _centroids(leaves: DataFrame) -> DataFrame:
     return leaves.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "cluster bigint, members bigint, vec array<float>")
 
 
-def _against(pairs: DataFrame, extra: str) -> DataFrame:
-    """cluster, outline_id, extra columns, alikeness of ``vec`` to ``other`` and their summed correlation."""
-    names = [c.split()[0] for c in extra.split(", ")] if extra else []
+def _measured(assigned: DataFrame) -> DataFrame:
+    """cluster, outline_id, total (sum of the correlations with the centroid ``other``), angle (the widest of the four)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                each = np.add.reduceat(unit(_matrix(batch["vec"])) * unit(_matrix(batch["other"])), _STARTS, axis=1)
-                yield pa.RecordBatch.from_arrays([batch["cluster"], batch["outline_id"], *[batch[c] for c in names], pa.array(each.min(1)), pa.array(each.sum(1))], ["cluster", "outline_id", *names, "least", "total"])
-
-    return pairs.mapInArrow(run, "cluster bigint, outline_id bigint, " + (extra + ", " if extra else "") + "least double, total double")
+                each = correlations(unit(_matrix(batch["vec"])), unit(_matrix(batch["other"])))
+                # a little wider than computed: what is alike for sure must be so in spite of rounding
+                angle = np.arccos(np.clip(each.min(1), -1.0, 1.0)) + 1e-5
+                yield pa.RecordBatch.from_arrays([batch["cluster"], batch["outline_id"], pa.array(each.sum(1)), pa.array(angle)], ["cluster", "outline_id", "total", "angle"])
+
+    return assigned.mapInArrow(run, "cluster bigint, outline_id bigint, total double, angle double")
+
+
+def _unlike(pair: pa.Table, alike: float) -> pa.Table:
+    """cluster, outline_id, with_id of the unlike cells of two blocks (side 0 and 1; or of one, side 0)."""
+    side, ids = pair["side"].to_numpy(), pair["outline_id"].to_numpy()
+    rows = unit(_matrix(pair["vec"].combine_chunks()))
+    left = np.nonzero(side == 0)[0]
+    right = np.nonzero(side == 1)[0] if (side == 1).any() else left
+    near = np.minimum.reduce([rows[left, a:b] @ rows[right, a:b].T for a, b in zip(_PARTS, _PARTS[1:])])
+    i, j = np.nonzero(near < alike)
+    one, other = ids[left[i]], ids[right[j]]
+    if right is left:
+        one, other = one[i < j], other[i < j]
+    return pa.table({"cluster": pa.array(np.full(len(one), pair["cluster"][0].as_py()), pa.int64()), "outline_id": pa.array(one), "with_id": pa.array(other)})
+
+
+def compared(assigned: DataFrame, measured: DataFrame, alike: float) -> DataFrame:
+    """cluster, outline_id, with_id of all pairs of unlike cells in a cluster, each once."""
+    limit = float(np.arccos(alike))
+    step = limit / _CLASSES
+    widest = measured.groupBy("cluster").agg(F.max("angle").alias("widest"))
+    asked = measured.join(widest, "cluster").where(F.col("angle") + F.col("widest") > limit).withColumn("class", F.floor(F.col("angle") / step).cast("int"))
+    sizes = asked.groupBy("cluster", "class").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / _BLOCK))
+    blocks = sizes.select("cluster", "class", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    one, other = (blocks.select("cluster", F.struct("class", "part").alias(name)) for name in ("one", "other"))
+    # upper ends of the classes: two blocks below the limit together hold no unlike cells
+    pairs = one.join(other, "cluster").where((F.col("one") >= F.col("other")) & ((F.col("one.class") + F.col("other.class") + 2) * step > limit))
+    ends = F.when(F.col("one") == F.col("other"), F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("block")), F.struct(F.lit(1).alias("side"), F.col("other").alias("block"))))
+    needed = pairs.select("cluster", "one", "other", F.inline(ends))
+    own = asked.join(sizes.select("cluster", "class", "parts"), ["cluster", "class"]).select("cluster", "outline_id", F.struct("class", F.pmod(F.xxhash64("outline_id"), F.col("parts")).alias("part")).alias("block"))
+    cells = own.join(assigned.select("outline_id", "vec"), "outline_id").join(needed, ["cluster", "block"])
+    return cells.groupBy("cluster", "one", "other").applyInArrow(lambda pair: _unlike(pair, alike), "cluster bigint, outline_id bigint, with_id bigint")
 
 
 def _parted(unlike: DataFrame) -> DataFrame:
@@ -445,36 +573,31 @@ def _parted(unlike: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "outline_id bigint, part int")
 
 
-def clusters(cells: DataFrame, alike: float = ALIKE, max_pivots: int = 1024, region_leaves: int = 1500) -> DataFrame:
-    """cluster, outline_id, typicality of every cell in a cluster of two or more (cluster: its smallest outline_id).
+_FOUND = "cluster bigint, outline_id bigint, typicality double"
 
-    Where cells of a cluster are unlike, it is parted by rank (``_parted``); one
-    part of two or more stays, and all cells without a cluster are clustered again,
-    until all fit or none is found. Each round keeps at least two cells, so it ends.
-    """
+
+def _round(cells: DataFrame, alike: float, max_pivots: int | None, region_leaves: int) -> tuple[DataFrame | None, bool]:
+    """(cluster, outline_id, typicality of what was found, whether the rest has to be clustered again); None where there is nothing."""
     trees = written(feature_trees(cells), "trees")
     roots = trees.where("kind = 'root'")
-    if not roots.take(1):
-        return cells.sparkSession.createDataFrame([], "cluster bigint, outline_id bigint, typicality double")
     leaves = trees.where("kind = 'leaf'").select("leaf", "n", "vec")
+    count = leaves.count()
+    if not count:
+        return None, False
+    if max_pivots is None:
+        max_pivots = max(1024, min(16_384, count // 100))
     labels = _united(_agglomerate(_regions(_route(leaves, pivots(roots, max_pivots)), region_leaves)))
     named = leaves.join(labels, "leaf", "left").withColumn("cluster", F.coalesce("cluster", "leaf"))
     sums = written(_centroids(named.select("cluster", "n", "vec")).where("members > 1"), "centroids")
     members = trees.where("kind = 'member'").select("leaf", "outline_id", "vec").join(labels, "leaf", "left").withColumn("cluster", F.coalesce("cluster", "leaf"))
     assigned = written(members.join(sums.select("cluster", F.col("vec").alias("other")), "cluster").select("cluster", "outline_id", "vec", "other"), "assigned")
-    measured = written(_against(assigned, ""), "measured")
-    sure = F.col("least") >= _SURE
-    doubtful = measured.where(~sure).select("cluster", "outline_id")
-    leavers = bool(doubtful.take(1))
-    if not leavers:
+    measured = written(_measured(assigned), "measured")
+    unlike = written(compared(assigned, measured, alike), "unlike")
+    if not unlike.take(1):
         fitting = measured.withColumn("part", F.lit(0))
     else:
-        asked = doubtful.join(assigned.select("outline_id", "vec"), "outline_id")
-        pairs = asked.join(assigned.select("cluster", F.col("outline_id").alias("with_id"), F.col("vec").alias("other")), "cluster").where("outline_id <> with_id")
-        unlike = written(_against(pairs, "with_id bigint").where(F.col("least") < alike).select("cluster", "outline_id", "with_id"), "unlike")
         rank = measured.select("outline_id", "total")
         judged = unlike.join(rank, "outline_id").join(rank.select(F.col("outline_id").alias("with_id"), F.col("total").alias("with_total")), "with_id")
-        # both ends of a pair are judged, also if only one of them was asked
         ends = [F.struct(F.col("total"), (-F.col("outline_id")).alias("by"), F.col("outline_id").alias("id")), F.struct(F.col("with_total").alias("total"), (-F.col("with_id")).alias("by"), F.col("with_id").alias("id"))]
         ranked = judged.select("cluster", F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
         parts = _parted(ranked.select("cluster", F.col("low.total").alias("total"), F.col("low.id").alias("outline_id"), F.col("high.id").alias("above")).distinct())
@@ -483,14 +606,33 @@ def clusters(cells: DataFrame, alike: float = ALIKE, max_pivots: int = 1024, reg
     # the first part of two or more stays (if any two cells of the cluster are alike, there is one)
     ids = sizes.where("size > 1").groupBy("cluster").agg(F.min_by(F.struct("part", "smallest"), "part").alias("kept")).select("cluster", "kept.*")
     found = fitting.join(ids, ["cluster", "part"]).select(F.col("smallest").alias("cluster"), "outline_id", (F.col("total") / CURVES).alias("typicality"))
-    if not leavers or not fitting.where("part > 0").take(1):
-        return found
-    found = written(found, "found")
-    if not found.take(1):
-        return found
-    # whoever is in no cluster, single cells too, is compared again
-    again = written(cells.join(found.select("outline_id"), "outline_id", "left_anti"), "again")
-    return found.unionByName(clusters(again, alike, max_pivots, region_leaves))
+    return found, bool(fitting.where("part > 0").take(1))
+
+
+def clusters(cells: DataFrame, alike: float = ALIKE, max_pivots: int | None = None, region_leaves: int = 1500) -> DataFrame:
+    """cluster, outline_id, typicality of every cell in a cluster of two or more (cluster: its smallest outline_id).
+
+    Where cells of a cluster are unlike, it is parted by rank (``_parted``); one
+    part of two or more stays, and all cells without a cluster are clustered again,
+    until all fit or none is found. Each round is written and keeps at least two
+    cells, so it ends. Pivots (at most ``max_pivots``) grow with the leaves, from
+    1,024 up to 16,384.
+    """
+    spark = cells.sparkSession
+    root, number = scratch(spark, "clusters"), 0
+    while True:
+        found, again = _round(cells, alike, max_pivots, region_leaves)
+        if found is None:
+            break
+        found.write.parquet(f"{root}/round={number}")
+        here = spark.read.schema(_FOUND).parquet(f"{root}/round={number}")
+        if not again or not here.take(1):
+            break
+        # whoever is in no cluster, single cells too, is compared again
+        cells, number = written(cells.join(here.select("outline_id"), "outline_id", "left_anti"), "again"), number + 1
+    if found is None and not number:
+        return spark.createDataFrame([], _FOUND)
+    return spark.read.schema(_FOUND).parquet(*[f"{root}/round={i}" for i in range(number + (found is not None))])
 
 
 def described(found: DataFrame, typical: int = 3) -> DataFrame:
