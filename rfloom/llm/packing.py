@@ -4,8 +4,9 @@ Only the histogram (at most ``capacity`` rows, whatever the corpus) reaches the
 driver. There lengths are placed longest first, each into the container with
 the most room left, for all containers of the same filling pattern at once.
 The patterns become rank intervals per length; documents find their container
-by joining (length, rank). Ranks are counted in ``salts`` slices of each
-length, so a length that a third of the corpus shares isn't ranked in one task.
+by their length's intervals and their rank in it, one lookup an item. Ranks
+are counted in slices of each length, as many as its items need, so a length
+that a third of the corpus shares isn't ranked in one task.
 
 Defined results: null texts have only the end token; a message longer than the
 capacity is divided into full containers and one remainder, which is packed
@@ -84,20 +85,33 @@ def pieces(documents: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack(documents: DataFrame, capacity: int = 8192, salts: int = 32) -> DataFrame:
-    """container, doc_id, piece, length: every piece of every message in exactly one container."""
+#: Items of one length that are ranked in one task.
+_SLICE = 500_000
+
+
+def pack(documents: DataFrame, capacity: int = 8192, salts: int | None = None) -> DataFrame:
+    """container, doc_id, piece, length: every piece of every message in exactly one container.
+
+    ``salts`` slices of each length are ranked apart; without it their number
+    follows from the most frequent length, so that a slice has about ``_SLICE`` items.
+    """
     spark = documents.sparkSession
+    histogram = {r["length"]: r["n"] for r in pieces(documents, capacity).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    if salts is None:
+        salts = max(32, -(-max(histogram.values(), default=0) // _SLICE))
     items = pieces(documents, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     slices = items.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in slices.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    found = rank_intervals(pack_histogram(histogram, capacity))
-    plan = spark.createDataFrame(found, "length int, first bigint, end bigint, container bigint, each bigint")
+    plan: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for length, first, _, container, each in sorted(rank_intervals(pack_histogram(histogram, capacity))):
+        plan[length].append((first, container, each))
+    intervals = spark.createDataFrame(list(plan.items()), "length int, intervals array<struct<first:bigint,container:bigint,each:bigint>>")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = slices.select("length", "salt", before.alias("offset"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
     ranked = items.withColumn("own", own).join(offsets, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("offset"))
-    placed = ranked.join(plan, "length").where("rank >= first and rank < end")
-    return placed.select((F.col("container") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("container"), "doc_id", "piece", "length")
+    # one row per length (at most ``capacity``), its intervals in order: each item finds the last that begins at its rank or before
+    found = ranked.join(F.broadcast(intervals), "length").withColumn("at", F.get("intervals", F.size(F.filter("intervals", lambda i: i["first"] <= F.col("rank"))) - 1))
+    return found.select((F.col("at.container") + F.floor((F.col("rank") - F.col("at.first")) / F.col("at.each"))).alias("container"), "doc_id", "piece", "length")
 
 
 def containers(packed: DataFrame, capacity: int = 8192) -> DataFrame:
