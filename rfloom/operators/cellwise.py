@@ -46,6 +46,16 @@ def decimated(data: Column, shape: tuple[int, ...], factor: int) -> Column:
     return _per_image(lambda image: kernels.fir_decimated(image, factor), shape)(data)
 
 
+def decimated_both(data: Column, shape: tuple[int, int], factor: int, trim: int) -> Column:
+    """Thinned along the first axis, then along the second; ``trim`` thinned pixels are cut off on each side."""
+
+    def both(image: np.ndarray) -> np.ndarray:
+        thin = kernels.fir_decimated(kernels.fir_decimated(image.T, factor).T, factor)
+        return thin[trim : thin.shape[0] - trim, trim : thin.shape[1] - trim]
+
+    return _per_image(both, shape)(data)
+
+
 def band_passed(data: Column, low: float, high: float, rate: Column) -> Column:
     """Zero-phase band-pass of each row's series at its own sampling rate, whatever its length; null where it can't be."""
 

@@ -677,31 +677,37 @@ def _images(spark, folder):
 @query()
 def gaussian_smooth(spark, folder):
     """Every image smoothed, with its own median outside."""
-    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.smoothed(F.col("a"), (SIDE, SIDE), 1.0)).alias("i", "v"))
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.smoothed(F.col("a"), (SIDE, SIDE), 1.0)).alias("i", "v")).withColumn("v", rounded(F.col("v")))
 
 
 @query()
 def polar_transform(spark, folder):
     """Every image sampled bilinearly on 36 angles and 4 radii."""
-    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.polar(F.col("a"), (SIDE, SIDE), 4, 36)).alias("i", "v"))
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.polar(F.col("a"), (SIDE, SIDE), 4, 36)).alias("i", "v")).withColumn("v", rounded(F.col("v")))
 
 
 @query()
 def outline_curves(spark, folder):
     """Centre, surround and in-out curves of every image (36, 36 and 4 values)."""
-    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.outline_curves(F.col("a"), (SIDE, SIDE), 4)).alias("i", "v"))
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.outline_curves(F.col("a"), (SIDE, SIDE), 4)).alias("i", "v")).withColumn("v", rounded(F.col("v")))
 
 
 @query()
 def decimated(spark, folder):
     """Every image low-passed and thinned by two along its rows."""
-    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.decimated(F.col("a"), (SIDE, SIDE), 2)).alias("i", "v"))
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.decimated(F.col("a"), (SIDE, SIDE), 2)).alias("i", "v")).withColumn("v", rounded(F.col("v")))
+
+
+@query()
+def decimated_both(spark, folder):
+    """Every image thinned by two along columns, then rows, and trimmed by a pixel on each side."""
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.decimated_both(F.col("a"), (SIDE, SIDE), 2, 1)).alias("i", "v")).withColumn("v", rounded(F.col("v")))
 
 
 @query()
 def spectrum(spark, folder):
     """Logarithmic magnitude of every image's Fourier transform."""
-    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.spectrum(F.col("a"), (SIDE, SIDE))).alias("i", "v"))
+    return _images(spark, folder).select("label", "vec_id", F.posexplode(cellwise.spectrum(F.col("a"), (SIDE, SIDE))).alias("i", "v")).withColumn("v", rounded(F.col("v")))
 
 
 @query()
@@ -709,14 +715,14 @@ def bandpass(spark, folder):
     """Every trace, holes bridged, band-passed between 2 and 20 Hz; one row of nulls where it can't be."""
     whole = every_trace(spark, folder)
     rate = F.lit(1000.0) / F.nullif(F.get("time_ms", F.lit(1)) - F.get("time_ms", F.lit(0)), F.lit(0.0))
-    return whole.select(*CELL, F.posexplode_outer(cellwise.band_passed(F.transform("v", lambda v: v.cast("double")), 2.0, 20.0, rate)).alias("position", "v"))
+    return whole.select(*CELL, F.posexplode_outer(cellwise.band_passed(F.transform("v", lambda v: v.cast("double")), 2.0, 20.0, rate)).alias("position", "v")).withColumn("v", rounded(F.col("v")))
 
 
 @query()
 def envelope(spark, folder):
     """Magnitude of the analytic signal of every trace, holes bridged; one row of nulls where nothing is known."""
     whole = every_trace(spark, folder)
-    return whole.select(*CELL, F.posexplode_outer(cellwise.envelope(F.transform("v", lambda v: v.cast("double")))).alias("position", "v"))
+    return whole.select(*CELL, F.posexplode_outer(cellwise.envelope(F.transform("v", lambda v: v.cast("double")))).alias("position", "v")).withColumn("v", rounded(F.col("v")))
 
 
 # --- every cell: the queries above on all outlines and traces -------------------------------------------
