@@ -33,6 +33,11 @@ def smoothed(data: Column, shape: tuple[int, ...], sigma: float = 5.0, axes: tup
     return _per_image(lambda cube: kernels.smoothed(cube, sigma, axes), shape)(data)
 
 
+def smoothed_about(data: Column, shape: tuple[int, ...], sigma: float) -> Column:
+    """Smoothed deviations: zero lies outside."""
+    return _per_image(lambda image: kernels.smoothed(image, sigma, fill=0.0), shape)(data)
+
+
 def polar(data: Column, shape: tuple[int, int], radii: int, angles: int = 360) -> Column:
     return _per_image(lambda image: kernels.polar_map(image, radii, angles), shape)(data)
 
@@ -109,3 +114,18 @@ def bridged(data: Column, at: Column | None = None) -> Column:
 
     doubles = F.transform(data, lambda v: v.cast("double"))
     return around(doubles) if at is None else along(doubles, at)
+
+
+def shift_between(left: Column, right: Column) -> Column:
+    """struct(dy, dx, score) of the offset at which two maps, arrays of (y, x, v), correlate best."""
+
+    def one(a: list, b: list) -> dict:
+        sides = [np.array([(p["y"], p["x"], p["v"]) for p in side], float) for side in (a, b)]
+        places, values = [s[:, :2].astype(int) for s in sides], [s[:, 2] for s in sides]
+        return kernels.best_offset(*places, *values)
+
+    @F.pandas_udf("struct<dy:int,dx:int,score:double>")
+    def run(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(a, b) for a, b in zip(first, second)], columns=["dy", "dx", "score"])
+
+    return run(left, right)

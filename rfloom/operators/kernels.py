@@ -11,9 +11,9 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
     return w / w.sum()
 
 
-def smoothed(cube: np.ndarray, sigma: float = 5.0, axes: tuple[int, ...] | None = None, truncate: float = 4.0) -> np.ndarray:
-    """Separable Gaussian; outside lies the cube's median."""
-    w, fill = gaussian_weights(sigma, truncate), float(np.median(cube))
+def smoothed(cube: np.ndarray, sigma: float = 5.0, axes: tuple[int, ...] | None = None, truncate: float = 4.0, fill: float | None = None) -> np.ndarray:
+    """Separable Gaussian; outside lies ``fill``, by default the cube's median."""
+    w, fill = gaussian_weights(sigma, truncate), float(np.median(cube)) if fill is None else fill
     out, r = np.asarray(cube, float) - fill, len(w) // 2
     for axis in range(out.ndim) if axes is None else axes:
         padded = np.pad(np.moveaxis(out, axis, -1), [(0, 0)] * (out.ndim - 1) + [(r, r)])
@@ -107,3 +107,34 @@ def semi_nmf_step(wtw: np.ndarray, wtx: np.ndarray, h: np.ndarray, l1: float, to
         cut = -np.sort(-h, axis=0)[topk - 1]
         h = np.where(h >= cut, h, 0)
     return h
+
+
+def best_offset(a_at: np.ndarray, b_at: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
+    """(dy, dx, score): where sum a(p) b(p - offset) is largest, up to 1e-9; the smallest offset among equals. Only offsets that some pair of pixels has compete."""
+    low_a, low_b = a_at.min(0), b_at.min(0)
+    size = a_at.max(0) - low_a + b_at.max(0) - low_b + 1
+    grids = []
+    for at, low, values in ((a_at, low_a, a), (b_at, low_b, b), (a_at, low_a, np.ones(len(a))), (b_at, low_b, np.ones(len(b)))):
+        grid = np.zeros(size)
+        np.add.at(grid, tuple((at - low).T), values)
+        grids.append(np.fft.rfft2(grid))
+    score, pairs = (np.fft.irfft2(x * np.conj(y), s=tuple(size)) for x, y in (grids[:2], grids[2:]))
+    offsets = np.stack(np.meshgrid(*[np.arange(n) for n in size], indexing="ij"), -1).reshape(-1, 2)
+    reach = a_at.max(0) - low_a
+    offsets = np.where(offsets > reach, offsets - size, offsets) + low_a - low_b
+    score, real = score.ravel(), pairs.ravel() > 0.5
+    offsets, score = offsets[real], score[real]
+    first = np.lexsort((offsets[:, 1], offsets[:, 0], -np.floor(score * 1e9)))[0]
+    return int(offsets[first, 0]), int(offsets[first, 1]), float(score[first])
+
+
+def covariance_edges(cov: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, weight) with p < q and a magnitude above the threshold."""
+    p, q = np.nonzero(np.triu(np.abs(cov) > threshold, 1))
+    return p, q, cov[p, q]
+
+
+def column_leaders(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(p, n): how often p has the largest covariance above the diagonal of a column; zeros below it compete, the first wins."""
+    p, n = np.unique(np.triu(cov, 1).argmax(0)[1:], return_counts=True)
+    return p, n

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def pixel_covariances(pixels: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """covar_samp of every pixel pair p <= q of a cell; the other half is its mirror. For regions of interest: quadratic in the pixels of a map."""
-    p, q = pixels.select(*keys, time, F.col("i").alias("p"), F.col("v").alias("vp")), pixels.select(*keys, time, F.col("i").alias("q"), F.col("v").alias("vq"))
-    return p.join(q, [*keys, time]).where("p <= q").groupBy(*keys, "p", "q").agg(F.covar_samp("vp", "vq").alias("cov"))
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def edge_list(covariances: DataFrame, threshold: float) -> DataFrame:
-    return covariances.where((F.col("p") < F.col("q")) & (F.abs("cov") > threshold)).withColumnRenamed("cov", "weight")
+from rfloom.functions.arrays import mean
+from rfloom.operators import cellwise, contours
 
 
 def node_signs(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,43 +17,49 @@ def node_signs(edges: DataFrame, keys: list[str]) -> DataFrame:
     return ends.groupBy(*keys, "node").agg(F.sign(F.sum("weight")).alias("sign"), F.count("*").alias("degree"))
 
 
-def column_argmax_counts(covariances: DataFrame, keys: list[str]) -> DataFrame:
-    """How often each p has the largest covariance above the diagonal of a column q; zeros below it compete, first wins."""
-    upper = covariances.where("p < q")
-    best = upper.groupBy(*keys, "q").agg(F.max(F.struct(F.col("cov"), (-F.col("p")).alias("first"))).alias("top"))
-    chosen = best.select(*keys, F.when(F.col("top.cov") > 0, -F.col("top.first")).when((F.col("top.cov") == 0), F.least(-F.col("top.first"), F.col("q"))).otherwise(F.col("q")).alias("p"))
-    return chosen.groupBy(*keys, "p").agg(F.count("*").alias("n"))
-
-
-def nearest(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Distance of each point of ``left`` (keys, a, ax, ay) to the nearest of ``right`` (keys, b, bx, by) in its group."""
-    far = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return left.join(right, keys).groupBy(*keys, "a").agg(F.min(far).alias("distance"))
+def hausdorff(points: DataFrame, keys: list[str], side: str, one: str, other: str) -> DataFrame:
+    """Per map: directed Hausdorff distances between two sets of its points (keys, side, x, y), their maximum and the mean of both mean distances.
 
+    The points of a map stand in its row as two arrays and are compared there; no pair of points is a row.
+    """
+    of = lambda name: F.collect_list(F.when(F.col(side) == name, F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
+    both = points.groupBy(*keys).agg(of(one).alias("a"), of(other).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
+    near = both.select(*keys, contours.nearest(F.col("a"), F.col("b")).alias("there"), contours.nearest(F.col("b"), F.col("a")).alias("back"))
+    return near.select(*keys, F.array_max("there").alias("there"), F.array_max("back").alias("back"), F.greatest(F.array_max("there"), F.array_max("back")).alias("hausdorff"), ((mean(F.col("there")) + mean(F.col("back"))) / 2).alias("mean_nearest"))
 
-def hausdorff(points: DataFrame, keys: list[str], side: str, one: str, other: str) -> DataFrame:
-    """Per group: directed Hausdorff distances, their maximum and the mean of both mean distances."""
-    a = lambda name: points.where(F.col(side) == name).select(*keys, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = lambda name: points.where(F.col(side) == name).select(*keys, F.col("x").alias("bx"), F.col("y").alias("by"))
-    there = nearest(a(one), b(other), keys).groupBy(*keys).agg(F.max("distance").alias("there"), F.avg("distance").alias("mean_there"))
-    back = nearest(a(other), b(one), keys).groupBy(*keys).agg(F.max("distance").alias("back"), F.avg("distance").alias("mean_back"))
-    return there.join(back, keys).select(*keys, "there", "back", F.greatest("there", "back").alias("hausdorff"), ((F.col("mean_there") + F.col("mean_back")) / 2).alias("mean_nearest"))
 
+def cosine_distances(vectors: DataFrame, identity: str, data: str, blocks: int = 16) -> DataFrame:
+    """a, b, distance: 1 - cosine of all pairs a < b, each once (null for a vector of zeros).
 
-def cosine_distances(vectors: DataFrame, groups: list[str], identity: str, data: str) -> DataFrame:
-    """1 - cosine of all pairs inside a (small, bounded) group."""
+    The answer is a matrix of all rows, so it is quadratic in them; rows are put
+    into blocks by hash and each pair of blocks is joined by its own key, so
+    that the pairs spread over ``blocks`` squared groups.
+    """
     length = F.sqrt(F.aggregate(data, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    unit = vectors.select(*groups, identity, F.transform(data, lambda v: v.cast("double") / F.nullif(length, F.lit(0.0))).alias("u"))
-    left, right = unit.select(*groups, F.col(identity).alias("a"), F.col("u").alias("ua")), unit.select(*groups, F.col(identity).alias("b"), F.col("u").alias("ub"))
+    unit = vectors.select(identity, F.transform(data, lambda v: v.cast("double") / F.nullif(length, F.lit(0.0))).alias("u"), F.pmod(F.xxhash64(identity), F.lit(blocks)).alias("block"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    left = unit.select(F.col(identity).alias("a"), F.col("u").alias("ua"), F.col("block").cast("bigint").alias("block_a"), every.alias("block_b"))
+    right = unit.select(F.col(identity).alias("b"), F.col("u").alias("ub"), F.col("block").cast("bigint").alias("block_b"), every.alias("block_a"))
     dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return left.join(right, groups).where("a < b").select(*groups, "a", "b", (1 - dot).alias("distance"))
+    return left.join(right, ["block_a", "block_b"]).where("a < b").select("a", "b", (1 - dot).alias("distance"))
+
+
+def argmin_match(rows: DataFrame, groups: list[str], item: str, distance: Callable[[Column, Column], Column], value: str) -> DataFrame:
+    """groups, item, closest, distance: the other item of its (small) group that each is nearest to; the smaller one among equals."""
+    others = rows.select(*groups, F.col(item).alias("_other"), F.col(value).alias("_value"))
+    near = rows.join(others, groups).where(F.col(item) != F.col("_other")).withColumn("_d", distance(F.col(value), F.col("_value")))
+    best = near.groupBy(*groups, item).agg(F.min(F.struct("_d", "_other")).alias("_best"))
+    return best.select(*groups, item, F.col("_best._other").alias("closest"), F.col("_best._d").alias("distance"))
 
 
 def best_shift(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Offset (dy, dx) with the largest cross-correlation of two maps (y, x, v); the smallest offset among equals."""
-    other = right.select(*keys, F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("v").alias("v2"))
-    products = left.join(other, keys).groupBy(*keys, (F.col("y") - F.col("y2")).alias("dy"), (F.col("x") - F.col("x2")).alias("dx")).agg(F.sum(F.col("v") * F.col("v2")).alias("score"))
-    return products.groupBy(*keys).agg(F.max_by(F.struct("dy", "dx", "score"), F.struct(F.floor(F.col("score") * 1e9), -F.col("dy"), -F.col("dx"))).alias("top")).select(*keys, "top.*")
+    """Offset (dy, dx) with the largest cross-correlation of two maps (y, x, v); the smallest offset among equals.
+
+    A map is an array in one row, both maps of a key meet there and are correlated by Fourier transforms.
+    """
+    pixel = F.struct("y", "x", "v")
+    one, other = (rows.groupBy(*keys).agg(F.collect_list(pixel).alias(name)) for rows, name in ((left, "a"), (right, "b")))
+    return one.join(other, keys).select(*keys, cellwise.shift_between(F.col("a"), F.col("b")).alias("top")).select(*keys, "top.*")
 
 
 def neighbours(pixels: DataFrame, keys: list[str], ring: int = 1) -> DataFrame:

@@ -54,6 +54,30 @@ def dominant_pixels(rows: DataFrame, key: str, data: str, width: int) -> DataFra
     return grams(rows, key, data, width).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, pixel int")
 
 
+def covariance_edges(rows: DataFrame, key: str, data: str, width: int, threshold: float) -> DataFrame:
+    """key, p, q, weight: pixel pairs p < q of a cell whose covariance is larger than the threshold. The matrix stays in the task; only its large entries come out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, m in enumerate(batch["m"].to_pylist()):
+                p, q, weight = kernels.covariance_edges(_covariance(np.array(m), width)[2], threshold)
+                yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(np.full(len(p), i))), pa.array(p, pa.int32()), pa.array(q, pa.int32()), pa.array(weight)], [key, "p", "q", "weight"])
+
+    return grams(rows, key, data, width).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, p int, q int, weight double")
+
+
+def column_leaders(rows: DataFrame, key: str, data: str, width: int) -> DataFrame:
+    """key, p, n: how often each pixel leads a column of the cell's covariance matrix above the diagonal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, m in enumerate(batch["m"].to_pylist()):
+                p, n = kernels.column_leaders(_covariance(np.array(m), width)[2])
+                yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(np.full(len(p), i))), pa.array(p, pa.int32()), pa.array(n, pa.int64())], [key, "p", "n"])
+
+    return grams(rows, key, data, width).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, p int, n bigint")
+
+
 def explained(rows: DataFrame, key: str, data: str, width: int, most: int) -> DataFrame:
     """key, component, variance, ratio of the principal components."""
 

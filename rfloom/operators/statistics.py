@@ -84,10 +84,6 @@ def signed_projection(snippets: DataFrame, average: DataFrame, keys: list[str],
     return snippets.join(average, [*keys, "y", "x"]).groupBy(*keys, "t").agg(F.sum(product).alias("projection"))
 
 
-def grouped_window(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys)
-
-
 def zscored(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """z over each group: the group's moments are aggregated (map-side first) and joined back, so no group sits in one task."""
     moments = rows.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sigma"))
@@ -110,3 +106,29 @@ def shared_by_all(rows: DataFrame, item: str, owner: str) -> DataFrame:
     """Items that every owner has (intersection over owners)."""
     owners = rows.agg(F.count_distinct(owner).alias("owners"))
     return rows.groupBy(item).agg(F.count_distinct(owner).alias("n")).join(F.broadcast(owners), F.col("n") == F.col("owners")).select(item)
+
+
+def grey_levels(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Each row with ``g``: its value on 0..255 by its group's range (0 for a constant group)."""
+    span = rows.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    level = F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * 255 + 0.5)
+    return rows.join(span, keys).withColumn("g", F.coalesce(level, F.lit(0)).cast("int")).drop("_low", "_high")
+
+
+def otsu_cuts(rows: DataFrame, keys: list[str], level: str) -> DataFrame:
+    """keys, cut: the level after which the variance between both sides is largest (the lowest among equals), from at most 256 counts a group."""
+    counts = rows.groupBy(*keys, level).agg(F.count("*").alias("n"))
+    below, whole = Window.partitionBy(*keys).orderBy(level), Window.partitionBy(*keys)
+    moment = F.col("n") * F.col(level)
+    sums = counts.select(*keys, level, *[F.sum(c).over(w).cast("double").alias(a) for a, c, w in (("w0", F.col("n"), below), ("s0", moment, below), ("w", F.col("n"), whole), ("s", moment, whole))])
+    rest = F.nullif(F.col("w") - F.col("w0"), F.lit(0.0))
+    gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / rest
+    return sums.withColumn("between", F.coalesce(F.round(F.col("w0") * rest * gap * gap, 3), F.lit(0.0))).groupBy(*keys).agg(F.max_by(level, F.struct("between", -F.col(level))).alias("cut"))
+
+
+def robust_z(rows: DataFrame, value: str) -> DataFrame:
+    """Each row with ``z``: its deviation from the median of all rows in scaled median deviations (null if these are 0)."""
+    middle = rows.agg(F.median(value).alias("_mid"))
+    off = rows.join(F.broadcast(middle), F.col(value).isNotNull())
+    spread = off.agg(F.median(F.abs(F.col(value) - F.col("_mid"))).alias("_mad"))
+    return off.join(F.broadcast(spread), F.col(value).isNotNull()).withColumn("z", F.lit(0.6744897501960817) * (F.col(value) - F.col("_mid")) / F.nullif(F.col("_mad"), F.lit(0.0))).drop("_mid", "_mad")

@@ -67,5 +67,28 @@ def padded(pixels: DataFrame, keys: list[str], height: int, width: int, border:
     return pixels.select(*keys, "y", "x", "v").unionByName(frame.select(*keys, "y", "x", F.col("fill").alias("v")))
 
 
+def padded_axes(pixels: DataFrame, keys: list[str], height: int, width: int, border: int) -> DataFrame:
+    """Each map extended by ``border`` pixels: first every column by its median, then every row of that by its own."""
+    rows = pixels.select(*keys, "y", "x", "v")
+    for axis, other, size in (("y", "x", height), ("x", "y", width)):
+        outside = F.explode(F.array(*[F.lit(i) for i in (*range(-border, 0), *range(size, size + border))]))
+        edge = rows.groupBy(*keys, other).agg(F.median("v").alias("v")).withColumn(axis, outside)
+        rows = rows.unionByName(edge.select(*keys, "y", "x", "v"))
+    return rows
+
+
+def framed(pixels: DataFrame, keys: list[str], height: int, width: int, value: str, fill: float = 0.0) -> DataFrame:
+    """keys, y, x, value on a whole frame; ``fill`` where the map has no pixel."""
+    side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    frame = pixels.select(*keys).distinct().withColumn("y", side(height)).withColumn("x", side(width))
+    return frame.join(pixels.select(*keys, "y", "x", value), [*keys, "y", "x"], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
+
+
+def windowed(pixels: DataFrame, centres: DataFrame, keys: list[str], half: int) -> DataFrame:
+    """The pixels at most ``half`` from each key's centre (keys, center_y, center_x), moved so that the window begins at 0."""
+    near = pixels.join(centres, keys).where(f"abs(y - center_y) <= {half} and abs(x - center_x) <= {half}")
+    return near.withColumns({"y": F.col("y") - F.col("center_y") + half, "x": F.col("x") - F.col("center_x") + half}).select(pixels.columns)
+
+
 def shifted(pixels: DataFrame, dy: int, dx: int) -> DataFrame:
     return pixels.withColumns({"y": F.col("y") + dy, "x": F.col("x") + dx})

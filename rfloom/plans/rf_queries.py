@@ -124,24 +124,24 @@ def covariance_row_sum(spark, folder):
 _COV = f"{_PIXELS}, cov AS (SELECT p.label, p.i AS p, q.i AS q, covar_samp(p.v, q.v) AS c FROM pixels p JOIN pixels q ON p.label = q.label AND p.vec_id = q.vec_id AND p.i <= q.i GROUP BY ALL)"
 
 
-def _covariances(spark, folder):
-    return pairs.pixel_covariances(pixels(spark, folder), ["label"], "vec_id")
+def _edges(spark, folder):
+    return reduction.covariance_edges(table(spark, folder, "embeddings"), "label", "embedding", SIDE * SIDE, 0.003)
 
 
 @query(f"WITH {_COV} SELECT label, p, q, {sql_rounded('c', 9)} AS weight FROM cov WHERE p < q AND abs(c) > 0.003")
 def covariance_edges(spark, folder):
-    return pairs.edge_list(_covariances(spark, folder), 0.003).withColumn("weight", rounded(F.col("weight"), 9))
+    return _edges(spark, folder).withColumn("weight", rounded(F.col("weight"), 9))
 
 
 @query(f"WITH {_COV}, e AS (SELECT * FROM cov WHERE p < q AND abs(c) > 0.003) SELECT label, node, sign(sum(c)) AS sign, count(*) AS degree FROM (SELECT label, p AS node, c FROM e UNION ALL SELECT label, q, c FROM e) GROUP BY label, node".replace("sign(sum(c)) AS sign", "CAST(sign(sum(c)) AS DOUBLE) AS sign"))
 def node_sign(spark, folder):
-    return pairs.node_signs(pairs.edge_list(_covariances(spark, folder), 0.003), ["label"])
+    return pairs.node_signs(_edges(spark, folder), ["label"])
 
 
 @query(f"""WITH {_COV}, top AS (SELECT label, q, max(c) AS c, arg_max(p, (c, -p)) AS p FROM cov WHERE p < q GROUP BY label, q)
 SELECT label, p, count(*) AS n FROM (SELECT label, CASE WHEN c > 0 THEN p WHEN c = 0 THEN least(p, q) ELSE q END AS p FROM top) GROUP BY label, p""")
 def cov_argmax_count(spark, folder):
-    return pairs.column_argmax_counts(_covariances(spark, folder), ["label"])
+    return reduction.column_leaders(table(spark, folder, "embeddings"), "label", "embedding", SIDE * SIDE)
 
 
 @query(f"WITH {_MAPS} SELECT label, y, x, {sql_rounded('v', 9)} AS v FROM maps WHERE x >= 1 AND x < 5 AND y >= 2 AND y < 6")
@@ -218,11 +218,11 @@ def median_correction(spark, folder):
     return rows.join(sums, ["label", "i"]).select("label", "vec_id", "i", rounded(F.col("v") - (F.col("s") / 100 - F.col("med")), 9).alias("corrected"))
 
 
-@query(f"WITH {_PIXELS}, m AS (SELECT label, i, avg(v) AS m FROM pixels GROUP BY ALL) SELECT label, vec_id, {sql_rounded('sum(v * m)', 9)} AS projection FROM pixels JOIN m USING (label, i) GROUP BY label, vec_id")
+@query(f"WITH {_PIXELS}, m AS (SELECT label, i, avg(v) AS m FROM pixels GROUP BY ALL) SELECT label, vec_id, {sql_rounded('sum((v - 0.5) * (m - 0.5))', 9)} AS projection FROM pixels JOIN m USING (label, i) GROUP BY label, vec_id")
 def signed_projection(spark, folder):
     stack = pixels(spark, folder).withColumnRenamed("vec_id", "t")
     average = maps(spark, folder).select("label", "y", "x", F.col("v").alias("sta"))
-    return S.signed_projection(stack, average, ["label"], 0.0).select("label", F.col("t").alias("vec_id"), rounded(F.col("projection"), 9).alias("projection"))
+    return S.signed_projection(stack, average, ["label"], 0.5).select("label", F.col("t").alias("vec_id"), rounded(F.col("projection"), 9).alias("projection"))
 
 
 @query(f"WITH {_PIXELS} SELECT label, y, x, {sql_rounded('sum(v * (vec_id % 7)) / nullif(sum(vec_id % 7), 0)', 9)} AS sta FROM pixels GROUP BY label, y, x")
@@ -382,12 +382,15 @@ def arc_length(spark, folder, rows_of=whole_outlines):
     return rows.select("outline_id", rounded(A.total(steps), 3).alias("perimeter"))
 
 
-@query(f"WITH {_OUTLINES}, {_TRACES}, f AS (SELECT recording, channel, cell_index, 1 AS k, list_transform(center, lambda a: CAST(a AS DOUBLE)) AS a FROM whole UNION ALL SELECT recording, channel, cell_index, 2, list_transform(v, lambda a: CAST(a AS DOUBLE)) FROM paths) SELECT recording, channel, cell_index, CAST(sum(len(a)) AS BIGINT) AS features FROM f GROUP BY ALL HAVING count(*) = 2")
+@query(f"""WITH {_OUTLINES}, {_TRACES}, f AS (SELECT recording, channel, cell_index, 1 AS k, list_transform(center, lambda a: CAST(a AS DOUBLE)) AS a FROM whole UNION ALL SELECT recording, channel, cell_index, 2, list_transform(v, lambda a: CAST(a AS DOUBLE)) FROM paths),
+g AS (SELECT recording, channel, cell_index, flatten(list(a ORDER BY k)) AS a FROM f GROUP BY ALL HAVING count(*) = 2)
+SELECT recording, channel, cell_index, position, CASE WHEN isfinite(value) THEN {sql_rounded('value', 4)} END AS value FROM (SELECT recording, channel, cell_index, CAST(generate_subscripts(a, 1) - 1 AS INT) AS position, unnest(a) AS value FROM g)""")
 def feature_stack(spark, folder, rows_of=whole_outlines, traces_of=traces):
+    """Sample x feature matrix: centre curve and trace of each cell one after another; null at holes."""
     double = lambda c: F.transform(c, lambda v: v.cast("double")).alias("a")
     rows = rows_of(spark, folder).select(*CELL, F.lit(1).alias("k"), double("center")).unionByName(traces_of(spark, folder).select(*CELL, F.lit(2).alias("k"), double("v")))
     stacked = rows.groupBy(*CELL).agg(F.count("*").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "a"))), lambda s: s["a"])).alias("a"))
-    return stacked.where("n = 2").select(*CELL, F.size("a").cast("bigint").alias("features"))
+    return stacked.where("n = 2").select(*CELL, F.posexplode("a").alias("position", "value")).withColumn("value", F.when(finite(F.col("value")), rounded(F.col("value"), 4)))
 
 
 # --- cells, channels, recordings --------------------------------------------------------------------
@@ -584,7 +587,7 @@ def hausdorff(spark, folder):
 @query(f"WITH {_MAPS}, u AS (SELECT label, i, v / sqrt(sum(v * v) OVER (PARTITION BY label)) AS u FROM maps) SELECT p.label AS a, q.label AS b, {sql_rounded('1 - sum(p.u * q.u)')} AS distance FROM u p JOIN u q ON p.i = q.i AND p.label < q.label GROUP BY ALL")
 def cosine_distance(spark, folder):
     flat = maps(spark, folder).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("v"))
-    return pairs.cosine_distances(flat.withColumn("all", F.lit(0)), ["all"], "label", "v").select("a", "b", rounded(F.col("distance")).alias("distance"))
+    return pairs.cosine_distances(flat, "label", "v").withColumn("distance", rounded(F.col("distance")))
 
 
 @query(f"""WITH {_MAPS}, o AS (SELECT label, y - 1 AS y, x AS x, v FROM maps), s AS (SELECT label, a.y - b.y AS dy, a.x - b.x AS dx, sum(a.v * b.v) AS score FROM maps a JOIN o b USING (label) GROUP BY ALL)

@@ -39,8 +39,13 @@ def test_row_sum_is_the_pairwise_sum(spark):
 def test_covariances_and_dominant_pixel(spark):
     stack = np.random.default_rng(2).normal(size=(40, 2, 3)) * np.array([1, 1, 1, 1, 5, 1]).reshape(2, 3)
     x = stack.reshape(40, 6)
-    got = pairs.pixel_covariances(tensors.long_view(images(spark, stack), ["label", "vec_id"], "embedding", 3), ["label"], "vec_id").collect()
-    assert len(got) == 21 and all(r["cov"] == pytest.approx(np.cov(x.T)[r["p"], r["q"]]) for r in got)
+    cov = np.cov(x.T)
+    got = reduction.covariance_edges(images(spark, stack), "label", "embedding", 6, 0.1).collect()
+    assert {(r["p"], r["q"]) for r in got} == {(p, q) for p in range(6) for q in range(p + 1, 6) if abs(cov[p, q]) > 0.1}
+    assert got and all(r["weight"] == pytest.approx(cov[r["p"], r["q"]]) for r in got)
+    leaders = {r["p"]: r["n"] for r in reduction.column_leaders(images(spark, stack), "label", "embedding", 6).collect()}
+    want = [int(np.triu(cov, 1)[:, q].argmax()) for q in range(1, 6)]
+    assert leaders == {p: want.count(p) for p in set(want)}
     _, _, v = np.linalg.svd(x - x.mean(0))
     assert reduction.dominant_pixels(images(spark, stack), "label", "embedding", 6).first()["pixel"] == int(np.abs(v[0]).argmax())
 
