@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rfloom.operators import kernels
 from rfloom.tables import written
 
 
@@ -35,6 +38,21 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
         before = now
 
 
+def map_components(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, component of the pixels (keys, i, y, x) of each map: a map stands in one row and is labelled there. For graphs wider than a row see ``components``."""
+
+    @F.pandas_udf("array<struct<node:bigint,component:bigint>>")
+    def label(maps: pd.Series) -> pd.Series:
+        def one(pixels: list) -> list[dict[str, int]]:
+            nodes, y, x = (np.array([p[c] for p in pixels], np.int64) for c in ("i", "y", "x"))
+            return [{"node": int(n), "component": int(c)} for n, c in zip(nodes, kernels.pixel_components(nodes, y, x))]
+
+        return pd.Series([one(m) for m in maps], dtype=object)
+
+    gathered = pixels.groupBy(*keys).agg(F.collect_set(F.struct("i", "y", "x")).alias("pixels"))
+    return gathered.select(*keys, F.inline(label("pixels")))
+
+
 def largest_component(labelled: DataFrame, keys: list[str]) -> DataFrame:
     """Nodes of each graph's largest component (the smaller label among equals)."""
     sizes = labelled.groupBy(*keys, "component").agg(F.count("*").alias("size"))

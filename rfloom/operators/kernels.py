@@ -97,18 +97,6 @@ def fir_decimated(signal: np.ndarray, factor: int, taps: int | None = None) -> n
     return (np.lib.stride_tricks.sliding_window_view(padded, n, axis=-1) @ w)[..., ::factor]
 
 
-def semi_nmf_step(wtw: np.ndarray, wtx: np.ndarray, h: np.ndarray, l1: float, topk: int | None) -> np.ndarray:
-    """One round of coordinate updates of H >= 0 given W'W and W'X; optionally only the k largest per column stay."""
-    h = h.copy()
-    for k in range(len(h)):
-        pull = wtx[k] - wtw[k] @ h + wtw[k, k] * h[k]
-        h[k] = np.maximum(0, (pull - l1) / (wtw[k, k] + 1e-12))
-    if topk and topk < len(h):
-        cut = -np.sort(-h, axis=0)[topk - 1]
-        h = np.where(h >= cut, h, 0)
-    return h
-
-
 def best_offset(a_at: np.ndarray, b_at: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     """(dy, dx, score): where sum a(p) b(p - offset) is largest, up to 1e-9; the smallest offset among equals. Only offsets that some pair of pixels has compete."""
     low_a, low_b = a_at.min(0), b_at.min(0)
@@ -138,3 +126,25 @@ def column_leaders(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(p, n): how often p has the largest covariance above the diagonal of a column; zeros below it compete, the first wins."""
     p, n = np.unique(np.triu(cov, 1).argmax(0)[1:], return_counts=True)
     return p, n
+
+
+def pixel_components(nodes: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Smallest node of each pixel's 4-connected region: labels flow to both neighbours along each axis until they stand."""
+    low, size = np.array([y.min(), x.min()]), (y.max() - y.min() + 3, x.max() - x.min() + 3)
+    top = np.iinfo(np.int64).max
+    grid, on = np.full(size, top), np.zeros(size, bool)
+    at = (y - low[0] + 1, x - low[1] + 1)
+    grid[at], on[at] = nodes, True
+    while True:
+        before = grid
+        for axis in (0, 1):
+            for flip in (False, True):
+                # within each run of pixels along the axis the smallest label so far goes on
+                g, m = (np.flip(a, axis) if flip else a for a in (grid, on))
+                g, m = np.moveaxis(g, axis, 0).copy(), np.moveaxis(m, axis, 0)
+                for k in range(1, len(g)):
+                    g[k] = np.where(m[k], np.minimum(g[k], g[k - 1]), top)
+                g = np.moveaxis(g, 0, axis)
+                grid = np.flip(g, axis) if flip else g
+        if (grid == before).all():
+            return grid[at]

@@ -113,31 +113,3 @@ def projected(rows: DataFrame, keep: list[str], data: str, width: int, most: int
     usable = rows.where(F.col(data).isNotNull() & (F.size(data) == width)).select(*keep, data)
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     return usable.mapInArrow(run, f"{kinds}, scores array<double>")
-
-
-def semi_nmf(rows: DataFrame, data: str, width: int, rank: int, rounds: int = 200, l1: float = 0.0, topk: int | None = None, seed: int = 0, tol: float = 1e-4) -> tuple[np.ndarray, list[float]]:
-    """(H, losses) of X = W H with H >= 0 and W free.
-
-    W's rows follow from H row by row; all that a round needs of them are W'W and
-    W'X, which follow from the Gram matrix. It ends after more than 10 rounds when
-    the loss falls by less than ``tol`` of itself, at the latest after ``rounds``.
-    """
-    usable = rows.where(F.col(data).isNotNull() & (F.size(data) == width)).select(data)
-    gram = grams(usable.withColumn("_all", F.lit(0)), "_all", data, width).first()
-    if gram is None:
-        return np.zeros((rank, width)), []
-    m = np.array(gram["m"]).reshape(width + 1, width + 1)
-    _, vectors = np.linalg.eigh(m[1:, 1:])
-    h = np.abs(vectors[:, ::-1][:, :rank].T) + 0.01 * np.random.default_rng(seed).random((rank, width))
-    square, losses = float(np.trace(m[1:, 1:])), []
-    xx = m[1:, 1:]
-    for done in range(1, rounds + 1):
-        hht = h @ h.T
-        solve = np.linalg.solve(hht + 1e-6 * np.trace(hht) / rank * np.eye(rank), h)
-        # W = X solve', so W'W = solve X'X solve' and W'X = solve X'X: the Gram matrix is all that is needed
-        wtw, wtx = solve @ xx @ solve.T, solve @ xx
-        h = kernels.semi_nmf_step(wtw, wtx, h, l1, topk)
-        losses.append(square - 2 * float((wtx * h).sum()) + float(((wtw @ h) * h).sum()))
-        if done > 10 and losses[-2] - losses[-1] < tol * (losses[-2] + 1e-12):
-            break
-    return h, losses

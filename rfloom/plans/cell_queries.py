@@ -116,8 +116,7 @@ def otsu_center(spark, folder):
     grey = S.grey_levels(rows, ["label"], "v")
     cuts = S.otsu_cuts(grey, ["label"], "g")
     on = grey.join(cuts, "label").where("g > cut")
-    labelled = graph.components(on.select("label", F.col("i").alias("node")), graph.pixel_edges(on, ["label"]), ["label"])
-    largest = graph.largest_component(labelled, ["label"]).select("label", F.col("node").alias("i"))
+    largest = graph.largest_component(graph.map_components(on, ["label"]), ["label"]).select("label", F.col("node").alias("i"))
     found = on.join(largest, ["label", "i"]).groupBy("label")
     return found.agg(F.first("cut").alias("cut"), rounded(F.avg("x")).alias("center_x"), rounded(F.avg("y")).alias("center_y"), F.count("*").alias("size"))
 

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from rfloom.functions import arrays as A
 from rfloom.functions import geometry as G
 from rfloom.functions.arrays import rounded, sql_rounded
-from rfloom.operators import cellwise, graph, pairs, reduction, tensors
+from rfloom.operators import cellwise, factorisation, graph, pairs, reduction, tensors
 from rfloom.operators import statistics as S
-from rfloom.tables import finite, join_same, table
+from rfloom.tables import finite, join_same, table, written
 
 SIDE = 8
 CELL = ["recording", "channel", "cell_index"]
@@ -549,8 +549,8 @@ def _spots(spark, folder):
   UNION SELECT s.label, s.i, w.component FROM walk w JOIN spots a ON a.label = w.label AND a.i = w.node JOIN spots s ON s.label = a.label AND abs(s.y - a.y) + abs(s.x - a.x) = 1 WHERE s.i > w.component)
 SELECT label, node, min(component) AS component FROM walk GROUP BY label, node""")
 def components(spark, folder):
-    spots = _spots(spark, folder)
-    return graph.components(spots.select("label", F.col("i").alias("node")), graph.pixel_edges(spots, ["label"]), ["label"])
+    found = graph.map_components(_spots(spark, folder), ["label"])
+    return found.withColumns({c: F.col(c).cast("int") for c in ("node", "component")})
 
 
 @query(f"""WITH RECURSIVE {_SPOTS}, walk AS (SELECT label, i AS node, i AS component FROM spots
@@ -623,11 +623,55 @@ def pca_scores(spark, folder):
     return reduction.projected(table(spark, folder, "embeddings"), ["vec_id", "label"], "embedding", SIDE * SIDE, 10)
 
 
+def _nmf(spark, folder, **more):
+    rows = table(spark, folder, "embeddings")
+    return rows, factorisation.factorised(factorisation.gram_of(rows, "embedding", SIDE * SIDE), factorisation.Settings(5, **more))
+
+
 @query()
 def semi_nmf(spark, folder):
-    """Non-negative part H of X = W H over all images, with the loss after each round."""
-    h, losses = reduction.semi_nmf(table(spark, folder, "embeddings"), "embedding", SIDE * SIDE, 5)
-    return spark.createDataFrame([(k, h[k].tolist(), float(losses[-1])) for k in range(len(h))], "component int, weights array<double>, loss double")
+    """Non-negative part H of X = W H over all images, with the loss after the last round (driver: one 64 x 64 matrix)."""
+    _, found = _nmf(spark, folder)
+    return spark.createDataFrame([(k, found.h[k].tolist(), found.losses[-1]) for k in range(len(found.h))], "component int, weights array<double>, loss double")
+
+
+@query()
+def semi_nmf_weights(spark, folder):
+    """W's row of every image, from a factorisation whose rows of H are kept apart and scaled."""
+    rows, found = _nmf(spark, folder, l1=1e-3, topk=3, sharpen=1.2, decorrelate=1e-3, scale="l2")
+    return factorisation.weights_of(rows, ["vec_id"], "embedding", SIDE * SIDE, found.b)
+
+
+@query()
+def nmf_runs(spark, folder):
+    """Loss and rounds of factorisations from eight starts."""
+    return factorisation.runs(table(spark, folder, "embeddings"), "embedding", SIDE * SIDE, factorisation.Settings(5, noise=0.5), 8).select("run", "rounds", "loss")
+
+
+@query()
+def nmf_consensus(spark, folder):
+    """How often two pixels share a component over eight runs."""
+    found = written(factorisation.runs(table(spark, folder, "embeddings"), "embedding", SIDE * SIDE, factorisation.Settings(5, noise=0.5), 8), "runs")
+    return factorisation.consensus(found)
+
+
+@query()
+def group_pca(spark, folder):
+    """Two-stage principal components of two views, the upper and lower halves of each image."""
+    halves = table(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("upper"), F.slice("embedding", 33, 32).alias("lower"))
+    return factorisation.group_principal(halves, ["vec_id"], {"upper": 32, "lower": 32}, 6)
+
+
+@query()
+def svd_normalised(spark, folder):
+    """Truncated SVD of all images, each scaled to length one."""
+    return factorisation.principal(table(spark, folder, "embeddings"), ["vec_id"], "embedding", SIDE * SIDE, 10, centred=False, unit=True)
+
+
+@query()
+def complex_pca(spark, folder):
+    """Shares of variance of the complex components of all images read as signals."""
+    return factorisation.complex_variances(table(spark, folder, "embeddings"), "embedding", SIDE * SIDE, 8)
 
 
 # --- resampling and image kernels -----------------------------------------------------------------------

@@ -60,18 +60,6 @@ def test_pca_and_whitening(spark):
     assert np.allclose(np.cov(scores.T), np.eye(3), atol=1e-8)
 
 
-def test_semi_nmf_finds_a_low_rank(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(100, 3)) @ rng.random((3, 8))
-    h, losses = reduction.semi_nmf(images(spark, x.reshape(100, 1, 8)), "embedding", 8, 3, rounds=60)
-    assert (h >= 0).all() and losses[-1] < 0.02 * (x**2).sum() and losses[-1] <= losses[0]
-
-
-def test_semi_nmf_of_nothing(spark):
-    h, losses = reduction.semi_nmf(images(spark, np.zeros((0, 1, 4))), "embedding", 4, 2)
-    assert h.shape == (2, 4) and losses == []
-
-
 def test_two_islands(spark):
     mask = np.zeros((8, 8), bool)
     mask[0, 0:5] = True
@@ -113,15 +101,6 @@ def test_best_shift_and_neighbours(spark):
     assert pairs.drop_singled(block, ["label"], 3 / 8).count() == 9
 
 
-def test_semi_nmf_runs_until_the_loss_stands(spark):
-    x = np.random.default_rng(6).normal(size=(200, 12))
-    _, losses = reduction.semi_nmf(images(spark, x.reshape(200, 1, 12)), "embedding", 12, 3)
-    fall = [(a - b) / a for a, b in zip(losses, losses[1:])]
-    assert 10 < len(losses) <= 200 and (fall[-1] < 1e-4 or len(losses) == 200) and all(f >= 1e-4 for f in fall[10:-1])
-    _, longest = reduction.semi_nmf(images(spark, x.reshape(200, 1, 12)), "embedding", 12, 3, tol=-1.0)
-    assert len(longest) == 200
-
-
 def test_every_outline_and_trace_gets_rows(spark, tmp_path):
     """Holed, all-zero and all-hole outlines, a holed and an all-hole trace."""
     outs = [(1, "r", "c", 1, [1.0, float("nan"), 1.0, 1.0], [2.0, 2.0, None, 2.0]), (2, "r", "c", 2, [0.0] * 4, None), (3, "r", "c", 3, [None] * 4, [2.0] * 4)]

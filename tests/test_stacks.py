@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rfloom.operators import contours, kernels, pairs, smoothing, tensors
+from rfloom.operators import contours, graph, kernels, pairs, smoothing, tensors
 from rfloom.operators import statistics as S
 
 
@@ -104,3 +104,14 @@ def test_robust_z(spark):
     z = {r["i"]: r["z"] for r in S.robust_z(spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 3, 4, 100])] + [(9, None)], "i int, v double"), "v").collect()}
     assert z[2] == 0.0 and z[4] > 3.5 and 9 not in z
     assert {r["z"] for r in S.robust_z(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").collect()} == {None}
+
+
+def test_regions_of_a_map_are_those_of_the_graph(spark):
+    mask = np.random.default_rng(6).random((2, 12, 15)) < 0.5
+    rows = [(label, int(y * 15 + x), int(y), int(x)) for label in (0, 1) for y, x in zip(*np.nonzero(mask[label]))]
+    df = spark.createDataFrame(rows + rows[:3], "label int, i int, y int, x int")
+    want = graph.components(df.select("label", F.col("i").alias("node")), graph.pixel_edges(df, ["label"]), ["label"])
+    assert {tuple(r) for r in graph.map_components(df, ["label"]).collect()} == {tuple(r) for r in want.select("label", "node", "component").collect()}
+    spiral = [(0, i, y, x) for i, (y, x) in enumerate([(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (3, 0), (4, 0), (4, 2)])]
+    got = {r["node"]: r["component"] for r in graph.map_components(spark.createDataFrame(spiral, "label int, i int, y int, x int"), ["label"]).collect()}
+    assert got == {i: 0 if i < 9 else 9 for i in range(10)}
