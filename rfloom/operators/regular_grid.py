@@ -183,7 +183,7 @@ def _laid(key: pa.Array, step: np.ndarray, lists: pa.Array, prev: pa.Array, next
     out = base[r[of]] + number - low[r[of]]
     half, middle, t0, t1 = step[r[of]] / 2, centre[out], t[left][of], t[right][of]
     share = change[of] * np.maximum(np.minimum(t1, middle + half) - np.maximum(t0, middle - half), 0.0) / (t1 - t0)
-    increment = np.bincount(out, weights=share, minlength=len(cell))
+    increment = np.bincount(out, weights=share, minlength=len(cell)).astype(float)  # integers if there are no intervals
     inner = (number > slot[left][of]) & (number < slot[right][of])
     value = np.full(len(cell), np.nan)
     value[out[inner]] = (level[of] + change[of] * (middle - t0) / (t1 - t0))[inner]

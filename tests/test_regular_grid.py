@@ -81,6 +81,11 @@ def test_chunked_crowded_and_whole_grids_agree(spark):
         assert sum(r[5] == "filled" for r in whole) == R.uncovered(R.intervals(rows, *ARGS), KEYS).count()
 
 
+def test_single_readings(spark):
+    rows = readings(spark, [(1, 0.0, 10.0, 1.0), (2, 30.0, 10.0, 4.0)])
+    assert rows_of(R.regular_grid(rows, *ARGS)) == [(1, 0, 0.0, 1.0, 0.0, "observed"), (2, 3, 30.0, 4.0, 0.0, "observed")]
+
+
 def test_a_broken_clock_is_reported_and_not_expanded(spark):
     rows = readings(spark, [(1, 0.0, 10.0, 1.0), (1, 30.0, 10.0, 4.0), (1, 1e15, 10.0, 5.0), (1, 1e300, 10.0, 5.0), (2, 0.0, 10.0, 1.0), (2, 20.0, 10.0, 1.0)])
     assert [r[:2] for r in rows_of(R.regular_grid(rows, *ARGS))] == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 10**14), (2, 0), (2, 1), (2, 2)]
