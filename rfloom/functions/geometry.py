@@ -55,40 +55,29 @@ def closed(values: Column) -> Column:
     return F.concat(values, F.slice(values, F.lit(1), F.lit(1)))
 
 
-_POWERS = {"sx": (1, 0), "sy": (0, 1), "sxx": (2, 0), "syy": (0, 2), "sxy": (1, 1), "sxxx": (3, 0), "syyy": (0, 3), "sxyy": (1, 2), "syxx": (2, 1)}
+#: Centred sums of a polygon's points: powers of x and y.
+_POWERS = {"suu": (2, 0), "svv": (0, 2), "suv": (1, 1), "suuu": (3, 0), "svvv": (0, 3), "suvv": (1, 2), "svuu": (2, 1)}
 
 
-def _power_sums(points: Column) -> Column:
-    """n and the sums of x^a y^b, in one pass over the points."""
+def moments(points: Column) -> Column:
+    """struct of n, mx, my and the centred sums suu, svv, suv, suuu, svvv, suvv, svuu: the means first, then the sums about them."""
+    start = F.struct(*[F.lit(0.0).alias(k) for k in _POWERS])
 
-    def product(p: Column, a: int, b: int) -> Column:
+    def product(u: Column, v: Column, a: int, b: int) -> Column:
         value = F.lit(1.0)
-        for factor in [p["x"]] * a + [p["y"]] * b:
+        for factor in [u] * a + [v] * b:
             value = value * factor
         return value
 
-    start = F.struct(*[F.lit(0.0).alias(k) for k in _POWERS])
-    return F.aggregate(points, start, lambda s, p: F.struct(*[(s[k] + product(p, a, b)).alias(k) for k, (a, b) in _POWERS.items()]))
-
+    def centred(c: Column) -> Column:
+        def add(s: Column, p: Column) -> Column:
+            u, v = p["x"] - c["mx"], p["y"] - c["my"]
+            return F.struct(*[(s[k] + product(u, v, a, b)).alias(k) for k, (a, b) in _POWERS.items()])
 
-def moments(points: Column) -> Column:
-    """struct of n, mx, my and the centred sums suu, svv, suv, suuu, svvv, suvv, svuu."""
+        return let(lambda t: F.struct(c["n"].alias("n"), c["mx"].alias("mx"), c["my"].alias("my"), *[t["s"][k].alias(k) for k in _POWERS]), s=F.aggregate(c["p"], start, add))
 
-    def centred(c: Column) -> Column:
-        s, n = c["s"], c["n"].cast("double")
-        mx, my = s["sx"] / n, s["sy"] / n
-        sums = {
-            "suu": s["sxx"] - n * mx * mx,
-            "svv": s["syy"] - n * my * my,
-            "suv": s["sxy"] - n * mx * my,
-            "suuu": s["sxxx"] - 3 * mx * s["sxx"] + 2 * n * mx * mx * mx,
-            "svvv": s["syyy"] - 3 * my * s["syy"] + 2 * n * my * my * my,
-            "suvv": s["sxyy"] - 2 * my * s["sxy"] - mx * s["syy"] + 2 * n * mx * my * my,
-            "svuu": s["syxx"] - 2 * mx * s["sxy"] - my * s["sxx"] + 2 * n * my * mx * mx,
-        }
-        return F.struct(c["n"].alias("n"), mx.alias("mx"), my.alias("my"), *[v.alias(k) for k, v in sums.items()])
-
-    return let(centred, s=_power_sums(points), n=F.nullif(F.size(points), F.lit(0)))
+    n = F.nullif(F.size(points), F.lit(0))
+    return let(centred, p=points, n=n, mx=total(F.transform(points, lambda p: p["x"])) / n, my=total(F.transform(points, lambda p: p["y"])) / n)
 
 
 def circle_fit(m: Column) -> Column:

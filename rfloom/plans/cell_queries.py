@@ -11,7 +11,7 @@ from rfloom.functions.arrays import rounded, sql_rounded
 from rfloom.operators import contours, graph, pairs, tensors
 from rfloom.operators import statistics as S
 from rfloom.plans.rf_queries import _CELLS, _CHANNELS, _MAPS, _OUTLINES, _PIXELS, CELL, SIDE, _positions, cells, maps, outlines, pixels, query, stimuli, whole_outlines
-from rfloom.sources import cubes
+from rfloom.sources import cubes, settings
 from rfloom.tables import finite, table
 
 # --- maps and snippets -------------------------------------------------------------------------------
@@ -214,3 +214,25 @@ def labelled_arrays(spark, folder):
     text = cubes.to_labelled_json(F.array(F.lit("x")), F.create_map(F.lit("x"), F.array(F.lit(0.0), F.lit(1.0))), data, F.lit("pair"))
     back = table(spark, folder, "events").select("event_id", cubes.from_labelled_json(text).alias("back"))
     return back.select("event_id", F.get("back.data", F.lit(0)).alias("first"), F.get("back.data", F.lit(1)).alias("second"), F.col("back").isNull().alias("missing"))
+
+
+@query(f"""WITH stims AS (SELECT recording, stimulus_id, max(image_w) AS image_w, max(sta_file) AS sta_file FROM channels GROUP BY ALL), first AS (SELECT recording, min(stimulus_id) AS stimulus_id FROM channels WHERE stimulus_id IS NOT NULL GROUP BY recording),
+every_ AS (SELECT recording, channel, max(stimulus_id) AS stimulus_id, max(image_w) AS image_w, max(sta_file) AS sta_file FROM channels GROUP BY recording, channel)
+SELECT * FROM every_ WHERE channel <> 'white' OR recording NOT IN (SELECT recording FROM first) UNION ALL SELECT recording, 'white', stimulus_id, image_w, sta_file FROM first JOIN stims USING (recording, stimulus_id)""")
+def channels_added(spark, folder):
+    """Channels with a white one for each recording, made from its first stimulus (in place of the one it may have)."""
+    columns = ["recording", "channel", "colour", "stimulus_id", "image_w", "sta_file"]
+    every = table(spark, folder, "channels").groupBy("recording", "channel").agg(*[F.max(c).alias(c) for c in columns[2:]])
+    first = every.where("stimulus_id is not null").groupBy("recording").agg(F.min("stimulus_id").alias("stimulus_id"))
+    added = first.select("recording", F.lit("white").alias("channel"), F.lit("white").alias("colour"), "stimulus_id")
+    return settings.add_channels(every, added).select("recording", "channel", "stimulus_id", "image_w", "sta_file")
+
+
+@query("""WITH c AS (SELECT recording, count(DISTINCT channel) AS channels, count(DISTINCT stimulus_id) AS stimuli, max(nr_triggers) AS triggers FROM channels GROUP BY recording), q AS (SELECT recording, count(DISTINCT cell_index) AS cells FROM quality WHERE cell_index IS NOT NULL GROUP BY recording), r AS (SELECT recording, max(nr_cells) AS listed FROM recordings GROUP BY recording)
+SELECT r.recording, listed, coalesce(channels, 0) AS channels, coalesce(stimuli, 0) AS stimuli, triggers, coalesce(cells, 0) AS cells FROM r LEFT JOIN c USING (recording) LEFT JOIN q USING (recording)""")
+def recording_overview(spark, folder):
+    """Channels, stimuli, triggers and cells of every recording."""
+    stims = table(spark, folder, "channels").groupBy("recording").agg(F.count_distinct("channel").alias("channels"), F.count_distinct("stimulus_id").alias("stimuli"), F.max("nr_triggers").alias("triggers"))
+    seen = table(spark, folder, "quality").where("cell_index is not null").groupBy("recording").agg(F.count_distinct("cell_index").alias("cells"))
+    listed = table(spark, folder, "recordings").groupBy("recording").agg(F.max("nr_cells").alias("listed"))
+    return listed.join(stims, "recording", "left").join(seen, "recording", "left").fillna(0, ["channels", "stimuli", "cells"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rfloom.operators.regular_grid import regular_grid
 from rfloom.plans.pipeline import Pipeline
-from rfloom.sources import cubes
+from rfloom.sources import cubes, settings
 from rfloom.streaming import incremental
 
 
@@ -77,3 +77,18 @@ def test_streamed_grid_equals_the_batch(spark, tmp_path):
 
 def test_settings_are_json(spark, tmp_path):
     assert json.loads(Pipeline(spark, str(tmp_path), {}, {"b": 1, "a": "x"}).settings_json()) == {"a": "x", "b": 1}
+
+
+def test_settings_are_saved_replaced_and_read(spark, tmp_path):
+    folder = f"{tmp_path}/settings"
+    assert settings.load(spark, folder) == {}
+    settings.save(spark, folder, {"cut_um": 800.0, "channels": ["560_nm", None]})
+    assert settings.put(spark, folder, "cut_um", 400.0) == settings.load(spark, folder) == {"cut_um": 400.0, "channels": ["560_nm", None]}
+
+
+def test_channels_are_added_or_replaced(spark):
+    kind = "recording string, channel string, colour string, stimulus_id int, image_w int"
+    channels = spark.createDataFrame([("r", "a", "red", 1, 50), ("r", "b", "blue", 2, 60)], kind)
+    added = spark.createDataFrame([("r", "b", "white", 1), ("r", "c", "green", 2), ("r", "d", "grey", 9), ("s", "a", "red", 1)], "recording string, channel string, colour string, stimulus_id int")
+    got = sorted(tuple(r) for r in settings.add_channels(channels, added).collect())
+    assert got == [("r", "a", "red", 1, 50), ("r", "b", "white", 1, 50), ("r", "c", "green", 2, 60)]
