@@ -13,7 +13,8 @@ messages together tell where the threshold lies.
 
 For two classes the model is linear in the buckets, so it is sent to the
 executors as one number per bucket (``BUCKETS`` floats, whatever the corpus).
-Every message is scored whole, as the largest probability of its sentences.
+Every message is scored whole, as the largest probability of its sentences;
+sentences of more than ``_WINDOW`` words also by each window of that many.
 
 Defined results: null or empty text has score 0; messages labelled null or
 equally often 0 and 1 don't train; without labels of both classes all scores
@@ -45,6 +46,8 @@ _RARE = 0
 _GRAMS = (3, 4, 5)
 #: Neutral words that every sentence is averaged with: a greeting and a name alone are weak evidence.
 _PAD = 4
+#: Words of a window in a longer sentence.
+_WINDOW = 20
 # Look-alike letters of other scripts and digits or signs used as letters.
 _LOOKALIKES = str.maketrans("авеёкмнорстухіјѕԁɡαβεικνορτυχ", "abeekmhopctyxijsdgabeiknoptux")
 _LEET = str.maketrans("013457@$€!|", "oieastaseil")
@@ -182,6 +185,12 @@ class Scorer:
         counts = np.diff(np.append(start, len(sentence)))
         logits = np.add.reduceat(value, start) / (2 * counts - 1 + _PAD) + self.model.bias
         np.maximum.at(best, owner[start], logits)
+        # what stands in a longer run of words without an end, as after a line of a log, is read by windows too
+        last = np.nonzero(np.arange(len(value)) - np.repeat(start, counts) >= _WINDOW)[0]
+        if len(last):
+            total, first = np.cumsum(value), last - _WINDOW + 1
+            inside = total[last] - total[first - 1] - pairs[first - 1]  # without the pair that reaches out of the window
+            np.maximum.at(best, owner[last], inside / (2 * _WINDOW - 1 + _PAD) + self.model.bias)
         return best
 
 

@@ -70,3 +70,13 @@ def test_scores_don_t_depend_on_batches():
 
 def test_normalisation():
     assert T.sentences("Subject: a\n\nYou m-o-r-0-n! f u l l y WОRTHLESS c00000l") == [["a"], ["you", "moron"], ["fully", "worthless", "col"]]
+
+
+def test_an_insult_in_a_run_without_an_end_is_read_by_windows():
+    weights = np.zeros(T.BUCKETS, np.float32)
+    weights[T.units("moron")] = 60.0
+    scorer = T.Scorer(T.Model(weights, 0.0, 0.0))
+    for before in (0, 5, 30, 300):
+        text = "Subject: a\n\n" + "plain " * before + "moron " + "plain " * 40
+        assert scorer.messages([text])[0] >= 60.0 / (2 * T._WINDOW - 1 + T._PAD) - 1e-9
+    assert scorer.messages(["Subject: a\n\n" + "plain " * 50 + ". moron " + "plain " * 5])[0] > 0
