@@ -186,10 +186,10 @@ class Scorer:
         logits = np.add.reduceat(value, start) / (2 * counts - 1 + _PAD) + self.model.bias
         np.maximum.at(best, owner[start], logits)
         # what stands in a longer run of words without an end, as after a line of a log, is read by windows too
-        last = np.nonzero(np.arange(len(value)) - np.repeat(start, counts) >= _WINDOW)[0]
+        last = np.nonzero((np.arange(len(value)) - np.repeat(start, counts) >= _WINDOW - 1) & (np.repeat(counts, counts) > _WINDOW))[0]
         if len(last):
-            total, first = np.cumsum(value), last - _WINDOW + 1
-            inside = total[last] - total[first - 1] - pairs[first - 1]  # without the pair that reaches out of the window
+            total, first = np.append(0.0, np.cumsum(value)), last - _WINDOW + 1
+            inside = total[last + 1] - total[first] - np.append(0.0, pairs)[first]  # without the pair that reaches out of the window
             np.maximum.at(best, owner[last], inside / (2 * _WINDOW - 1 + _PAD) + self.model.bias)
         return best
 
