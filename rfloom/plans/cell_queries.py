@@ -10,7 +10,7 @@ from rfloom.functions import geometry as G
 from rfloom.functions.arrays import rounded, sql_rounded
 from rfloom.operators import contours, graph, pairs, tensors
 from rfloom.operators import statistics as S
-from rfloom.plans.rf_queries import _CELLS, _CHANNELS, _MAPS, _OUTLINES, _PIXELS, CELL, SIDE, _positions, cells, maps, outlines, pixels, query, stimuli, whole_outlines
+from rfloom.plans.rf_queries import _CELLS, _CHANNELS, _MAPS, _OUTLINES, _PIXELS, _TRACES, CELL, QUERIES, SIDE, SQL, _positions, cells, maps, outlines, pixels, query, stimuli, traces, whole_outlines
 from rfloom.sources import cubes, settings
 from rfloom.tables import finite, table
 
@@ -236,3 +236,48 @@ def recording_overview(spark, folder):
     seen = table(spark, folder, "quality").where("cell_index is not null").groupBy("recording").agg(F.count_distinct("cell_index").alias("cells"))
     listed = table(spark, folder, "recordings").groupBy("recording").agg(F.max("nr_cells").alias("listed"))
     return listed.join(stims, "recording", "left").join(seen, "recording", "left").fillna(0, ["channels", "stimuli", "cells"])
+
+
+# --- longer paths ------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_PIXELS}, m AS (SELECT label, i, sum(v) AS s, median(v) AS med FROM pixels GROUP BY ALL), corrected AS (SELECT label, vec_id, i, y, x, v - (s / 100 - med) AS v FROM pixels JOIN m USING (label, i)),
+sums AS (SELECT label, vec_id, sum(v) AS whole FROM corrected GROUP BY label, vec_id), rows_ AS (SELECT label, y, x, floor((covar_samp(v, whole) - var_samp(v)) * 1e9 + 0.500001) / 1e9 AS total FROM corrected JOIN sums USING (label, vec_id) GROUP BY label, y, x),
+cut AS (SELECT label, quantile_cont(total, 0.05) AS lo, quantile_cont(total, 0.95) AS hi FROM rows_ GROUP BY label)
+SELECT label, y, x, {sql_rounded('total', 9)} AS total, CASE WHEN total > hi THEN 'high' WHEN total < lo THEN 'low' ELSE 'middle' END AS side, CAST(row_number() OVER (PARTITION BY label ORDER BY total DESC, y, x) AS INT) AS rank FROM rows_ JOIN cut USING (label) QUALIFY rank <= 12""")
+def covariance_path(spark, folder):
+    """Median-corrected stack, covariance row sums, their quantile sides, and the twelve largest in order."""
+    rows = pixels(spark, folder)
+    levels = rows.groupBy("label", "i").agg(F.sum("v").alias("s"), F.median("v").alias("med"))
+    corrected = rows.join(levels, ["label", "i"]).select("label", "vec_id", "y", "x", (F.col("v") - (F.col("s") / 100 - F.col("med"))).alias("v"))
+    totals = S.covariance_row_sum(corrected, ["label"], "vec_id").withColumn("total", rounded(F.col("total"), 9))
+    ranked = S.quantile_split(totals, ["label"], "total", 0.05, 0.95).withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("total"), "y", "x")))
+    return ranked.where("rank <= 12").select("label", "y", "x", "total", "side", "rank")
+
+
+@query(f"WITH {_MAPS}, span AS (SELECT label, min(v) AS lo, max(v) AS hi FROM maps GROUP BY label) SELECT label, i, CASE WHEN hi = lo THEN 0 ELSE CAST(floor((v - lo) / (hi - lo) * 255 + 0.5) AS INT) END AS grey FROM maps JOIN span USING (label)")
+def grey_maps(spark, folder):
+    """Mean images on 0..255 by the range of each whole image."""
+    return S.grey_levels(maps(spark, folder), ["label"], "v").select("label", "i", F.col("g").alias("grey"))
+
+
+@query(f"""WITH stack AS ({SQL["feature_stack"]}), q AS (SELECT position, median(value) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM stack WHERE value IS NOT NULL GROUP BY position)
+SELECT recording, channel, cell_index, position, {sql_rounded('(value - med) / coalesce(nullif(iqr / 1.3489795003921634, 0), 1)', 4)} AS scaled FROM stack JOIN q USING (position) WHERE value IS NOT NULL""")
+def scaled_features(spark, folder):
+    """Sample x feature matrix of all recordings, each feature scaled by its median and quartiles."""
+    known = QUERIES["feature_stack"](spark, folder).where("value is not null")
+    return S.robust_scaled(known, ["position"], "value").select(*CELL, "position", rounded(F.col("scaled"), 4).alias("scaled"))
+
+
+@query(f"""WITH {_TRACES}, s AS (SELECT recording, channel, cell_index, t, x, lead(t) OVER w AS t1, lead(x) OVER w AS x1 FROM (SELECT recording, channel, cell_index, unnest(time_ms) AS t, CAST(unnest(v) AS DOUBLE) AS x FROM paths) WHERE isfinite(x) WINDOW w AS (PARTITION BY recording, channel, cell_index ORDER BY t)),
+longest AS (SELECT channel, arg_max(time_ms, (len(time_ms), -time_ms[1], -time_ms[2])) AS grid FROM paths WHERE len(time_ms) > 1 GROUP BY channel),
+g AS (SELECT recording, p.channel, cell_index, unnest(grid) AS spot, CAST(generate_subscripts(grid, 1) - 1 AS INT) AS position FROM paths p JOIN longest USING (channel))
+SELECT g.recording, g.channel, g.cell_index, position, {sql_rounded('coalesce(arg_min(x + (x1 - x) * (spot - t) / (t1 - t), t), 0)', 5)} AS v FROM g LEFT JOIN s ON g.recording = s.recording AND g.channel = s.channel AND g.cell_index = s.cell_index AND t <= spot AND spot <= t1 GROUP BY ALL""")
+def aligned_traces(spark, folder):
+    """Every trace on the longest time grid of its channel; 0 beyond its own ends."""
+    rows = traces(spark, folder)
+    grids = rows.where(F.size("time_ms") > 1).groupBy("channel").agg(F.max_by("time_ms", F.struct(F.size("time_ms"), -F.get("time_ms", F.lit(0)), -F.get("time_ms", F.lit(1)))).alias("grid"))
+    points = F.filter(F.arrays_zip(F.col("time_ms").alias("x"), F.col("v").alias("y")), lambda p: p["y"].isNotNull() & ~F.isnan(p["y"]))
+    both = rows.join(grids, "channel").withColumn("p", points)
+    x, y = F.transform("p", lambda p: p["x"]), F.transform("p", lambda p: p["y"].cast("double"))
+    return both.select(*CELL, F.posexplode(A.resampled(x, y, F.col("grid"))).alias("position", "v")).withColumn("v", rounded(F.col("v"), 5))
