@@ -1,4 +1,4 @@
-"""Whole-image kernels, one tensor row at a time: Arrow batches in, Arrow batches out, no shuffle."""
+"""Whole-image kernels on the tensor rows of a batch: Arrow batches in, Arrow batches out, no shuffle."""
 
 from __future__ import annotations
 
@@ -12,51 +12,64 @@ from pyspark.sql import functions as F
 from rfloom.operators import kernels
 
 
+#: Values of images that a kernel gets at a time.
+_VALUES = 1 << 22
+
+
 def _per_image(kernel: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> Callable[[Column], Column]:
-    """A pandas UDF applying ``kernel`` to each array of the given shape; null where the array is null, ragged or not finite."""
+    """A pandas UDF applying ``kernel`` to stacks of arrays of the given shape; null where the array is null, ragged or not finite."""
     size = int(np.prod(shape))
 
     @F.pandas_udf("array<double>")
     def run(images: pd.Series) -> pd.Series:
-        def one(image: np.ndarray | None) -> list[float] | None:
-            if image is None or len(image) != size:
-                return None
-            cube = np.asarray(image, float).reshape(shape)
-            return kernel(cube).ravel().tolist() if np.isfinite(cube).all() else None
-
-        return images.map(one)
+        found = np.full(len(images), None, object)
+        fits = np.nonzero([image is not None and len(image) == size for image in images])[0]
+        for start in range(0, len(fits), max(1, _VALUES // size)):
+            own = fits[start : start + max(1, _VALUES // size)]
+            stack = np.stack([np.asarray(images.iloc[i], float) for i in own])
+            good = np.isfinite(stack).all(1)
+            if good.any():
+                results = kernel(stack[good].reshape(-1, *shape))
+                for i, row in zip(own[good], results.reshape(len(results), -1)):
+                    found[i] = row
+        return pd.Series(found)
 
     return run
 
 
 def smoothed(data: Column, shape: tuple[int, ...], sigma: float = 5.0, axes: tuple[int, ...] | None = None) -> Column:
-    return _per_image(lambda cube: kernels.smoothed(cube, sigma, axes), shape)(data)
+    """Every array smoothed (along some of its axes), with its own median outside."""
+    along = tuple(a + 1 for a in (range(len(shape)) if axes is None else axes))
+    each = tuple(range(1, len(shape) + 1))
+    return _per_image(lambda cubes: kernels.smoothed(cubes, sigma, along, fill=np.median(cubes, axis=each, keepdims=True)), shape)(data)
 
 
 def smoothed_about(data: Column, shape: tuple[int, ...], sigma: float) -> Column:
     """Smoothed deviations: zero lies outside."""
-    return _per_image(lambda image: kernels.smoothed(image, sigma, fill=0.0), shape)(data)
+    along = tuple(range(1, len(shape) + 1))
+    return _per_image(lambda images: kernels.smoothed(images, sigma, along, fill=0.0), shape)(data)
 
 
 def polar(data: Column, shape: tuple[int, int], radii: int, angles: int = 360) -> Column:
-    return _per_image(lambda image: kernels.polar_map(image, radii, angles), shape)(data)
+    return _per_image(lambda images: kernels.polar_map(images, radii, angles), shape)(data)
 
 
 def outline_curves(data: Column, shape: tuple[int, int], radii: int, degree_bins: int = 10) -> Column:
     """Centre, surround and in-out curves one after another."""
-    return _per_image(lambda image: np.concatenate(kernels.outlines(image, radii, degree_bins)), shape)(data)
+    return _per_image(lambda images: np.concatenate(kernels.outlines(images, radii, degree_bins), axis=-1), shape)(data)
 
 
 def decimated(data: Column, shape: tuple[int, ...], factor: int) -> Column:
-    return _per_image(lambda image: kernels.fir_decimated(image, factor), shape)(data)
+    return _per_image(lambda images: kernels.fir_decimated(images, factor), shape)(data)
 
 
 def decimated_both(data: Column, shape: tuple[int, int], factor: int, trim: int) -> Column:
     """Thinned along the first axis, then along the second; ``trim`` thinned pixels are cut off on each side."""
 
-    def both(image: np.ndarray) -> np.ndarray:
-        thin = kernels.fir_decimated(kernels.fir_decimated(image.T, factor).T, factor)
-        return thin[trim : thin.shape[0] - trim, trim : thin.shape[1] - trim]
+    def both(images: np.ndarray) -> np.ndarray:
+        down = np.swapaxes(kernels.fir_decimated(np.swapaxes(images, -1, -2), factor), -1, -2)
+        thin = kernels.fir_decimated(down, factor)
+        return thin[..., trim : thin.shape[-2] - trim, trim : thin.shape[-1] - trim]
 
     return _per_image(both, shape)(data)
 
@@ -88,7 +101,7 @@ def envelope(data: Column) -> Column:
 
 def spectrum(data: Column, shape: tuple[int, int]) -> Column:
     """log(1 + magnitude) of the centred 2-D Fourier transform."""
-    return _per_image(lambda image: np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(image)))), shape)(data)
+    return _per_image(lambda images: np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(images), axes=(-2, -1)))), shape)(data)
 
 
 def bridged(data: Column, at: Column | None = None) -> Column:

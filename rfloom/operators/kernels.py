@@ -11,10 +11,11 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
     return w / w.sum()
 
 
-def smoothed(cube: np.ndarray, sigma: float = 5.0, axes: tuple[int, ...] | None = None, truncate: float = 4.0, fill: float | None = None) -> np.ndarray:
-    """Separable Gaussian; outside lies ``fill``, by default the cube's median."""
-    w, fill = gaussian_weights(sigma, truncate), float(np.median(cube)) if fill is None else fill
-    out, r = np.asarray(cube, float) - fill, len(w) // 2
+def smoothed(cubes: np.ndarray, sigma: float = 5.0, axes: tuple[int, ...] | None = None, truncate: float = 4.0, fill: float | np.ndarray | None = None) -> np.ndarray:
+    """Separable Gaussian along all axes or some; outside lies ``fill`` (of each cube of a stack, if it is an array), by default the median of everything."""
+    w = gaussian_weights(sigma, truncate)
+    fill = np.median(cubes) if fill is None else fill
+    out, r = np.asarray(cubes, float) - fill, len(w) // 2
     for axis in range(out.ndim) if axes is None else axes:
         padded = np.pad(np.moveaxis(out, axis, -1), [(0, 0)] * (out.ndim - 1) + [(r, r)])
         windows = np.lib.stride_tricks.sliding_window_view(padded, len(w), axis=-1)
@@ -22,32 +23,34 @@ def smoothed(cube: np.ndarray, sigma: float = 5.0, axes: tuple[int, ...] | None
     return out + fill
 
 
-def bilinear(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Samples with reflection at the edge."""
-    h, w = image.shape
+def bilinear(images: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Samples of the last two axes, with reflection at the edge."""
+    h, w = images.shape[-2:]
     reflect = lambda i, n: np.where((m := np.mod(i, 2 * n)) >= n, 2 * n - 1 - m, m)
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
     fy, fx = y - y0, x - x0
-    at = lambda a, b: image[reflect(a, h), reflect(b, w)]
+    at = lambda a, b: images[..., reflect(a, h), reflect(b, w)]
     return (1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x0 + 1)) + fy * ((1 - fx) * at(y0 + 1, x0) + fx * at(y0 + 1, x0 + 1))
 
 
-def polar_map(image: np.ndarray, radii: int, angles: int = 360) -> np.ndarray:
-    """angles x radii samples around the image's middle, out to the nearer edge."""
-    cy, cx = image.shape[0] // 2, image.shape[1] // 2
+def polar_map(images: np.ndarray, radii: int, angles: int = 360) -> np.ndarray:
+    """angles x radii samples around the middle of each image, out to the nearer edge."""
+    cy, cx = images.shape[-2] // 2, images.shape[-1] // 2
     theta = np.radians(np.arange(angles) * 360.0 / angles)[:, None]
     r = np.linspace(0, min(cy, cx), radii)[None, :]
-    return bilinear(image, cy + r * np.sin(theta), cx + r * np.cos(theta))
+    return bilinear(images, cy + r * np.sin(theta), cx + r * np.cos(theta))
 
 
-def outlines(image: np.ndarray, radii: int, degree_bins: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centre, surround, in-out) of an image: binned angles, mean over radii, scaled by the number of radii; 0 where undefined."""
-    e = polar_map(image, radii).reshape(360 // degree_bins, degree_bins, radii).mean(1)
+def outlines(images: np.ndarray, radii: int, degree_bins: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, surround, in-out) of each image: binned angles, mean over radii, scaled by the number of radii; 0 where undefined."""
+    polar = polar_map(images, radii)
+    e = polar.reshape(*polar.shape[:-2], 360 // degree_bins, degree_bins, radii).mean(-2)
     sides = []
     for part in (np.maximum(e, 0), np.minimum(e, 0)):
-        peak = part.max() if part.max() > 0 else part.min()
-        sides.append(part.mean(1) / peak * radii if peak != 0 else np.zeros(len(e)))
-    return sides[0], sides[1], e.mean(0)
+        high, low = part.max((-2, -1)), part.min((-2, -1))
+        peak = np.where(high > 0, high, low)[..., None]
+        sides.append(np.divide(part.mean(-1) * radii, peak, out=np.zeros(part.shape[:-1]), where=peak != 0))
+    return sides[0], sides[1], e.mean(-2)
 
 
 def dominant_pixel(cov: np.ndarray) -> int:

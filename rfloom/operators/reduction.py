@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rfloom.operators import kernels
+from rfloom.operators.factorisation import usable
 
 
 def _stacked(column: pa.Array, width: int) -> np.ndarray:
@@ -18,7 +19,7 @@ def _stacked(column: pa.Array, width: int) -> np.ndarray:
 
 def grams(rows: DataFrame, key: str, data: str, width: int) -> DataFrame:
     """key, n, sums array, gram array (width^2): partial sums per batch, combined map-side by position."""
-    usable = rows.where(F.col(data).isNotNull() & (F.size(data) == width) & ~F.exists(data, lambda v: v.isNull() | F.isnan(v)))
+    kept = usable(rows, data, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[object, np.ndarray] = {}
@@ -32,7 +33,7 @@ def grams(rows: DataFrame, key: str, data: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(parts), batch[key].type), pa.array([m.ravel().tolist() for m in parts.values()], pa.list_(pa.float64()))], [key, "m"])
 
     kind = rows.schema[key].dataType.simpleString()
-    partial = usable.select(key, data).mapInArrow(run, f"{key} {kind}, m array<double>")
+    partial = kept.select(key, data).mapInArrow(run, f"{key} {kind}, m array<double>")
     summed = partial.select(key, F.posexplode("m").alias("at", "v")).groupBy(key, "at").agg(F.sum("v").alias("v"))
     return summed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]).alias("m"))
 
@@ -110,6 +111,6 @@ def projected(rows: DataFrame, keep: list[str], data: str, width: int, most: int
             scores = (_stacked(batch[data], width) - mean) @ axes.T
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(scores.tolist(), pa.list_(pa.float64()))], [*keep, "scores"])
 
-    usable = rows.where(F.col(data).isNotNull() & (F.size(data) == width)).select(*keep, data)
+    kept = usable(rows, data, width).select(*keep, data)
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return usable.mapInArrow(run, f"{kinds}, scores array<double>")
+    return kept.mapInArrow(run, f"{kinds}, scores array<double>")
