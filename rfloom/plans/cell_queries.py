@@ -10,7 +10,7 @@ from rfloom.functions import geometry as G
 from rfloom.functions.arrays import rounded, sql_rounded
 from rfloom.operators import contours, graph, pairs, tensors
 from rfloom.operators import statistics as S
-from rfloom.plans.rf_queries import _CELLS, _CHANNELS, _MAPS, _OUTLINES, _PIXELS, _TRACES, CELL, QUERIES, SIDE, SQL, _positions, cells, maps, outlines, pixels, query, stimuli, traces, whole_outlines
+from rfloom.plans.rf_queries import _CELLS, _CHANNELS, _MAPS, _OUTLINES, _PIXELS, _TRACES, CELL, QUERIES, SIDE, SQL, cells, maps, outlines, pixels, query, stimuli, traces, whole_outlines
 from rfloom.sources import cubes, settings
 from rfloom.tables import finite, table
 

@@ -6,20 +6,17 @@ cell, vec_id = time, position = pixel.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rfloom.functions import arrays as A
 from rfloom.functions import geometry as G
 from rfloom.functions.arrays import rounded, sql_rounded
 from rfloom.operators import reduction, smoothing, tensors
 from rfloom.operators import statistics as S
 from rfloom.plans.kernel_sql import GAUSS, LEADING
 from rfloom.plans.pipeline import Pipeline
-from rfloom.plans.rf_queries import _CELLS, _CHANNELS, _MAPS, _OUTLINES, _PIXELS, CELL, QUERIES, SIDE, SQL, _images, cells, maps, pixels, query, stimuli, whole_outlines
-from rfloom.tables import finite, scratch, table
+from rfloom.plans.rf_queries import _PIXELS, QUERIES, SIDE, SQL, _images, pixels, query
+from rfloom.tables import scratch, table
 
 # --- quality of the smoothed stack -----------------------------------------------------------------
 
